@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import exact_dedup, language, mixing, packing, substring_dedup
+from skerry.llm import exact_dedup, jaccard_join, language, mixing, packing, substring_dedup
 from skerry.llm.common import stored, table, word_count
 
 
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(F.col("text")).alias("words"))
     mixed = mixing.mix(stored(docs, "sizes"), F.col("sources"), F.col("words"))
@@ -39,7 +43,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_mixing, op6_exact_dedup, op9_packing, op10_language)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op4_mixing, op6_exact_dedup, op9_packing, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
