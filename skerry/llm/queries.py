@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import exact_dedup, jaccard_join, language, mixing, packing, substring_dedup
+from skerry.llm import exact_dedup, fingerprint, jaccard_join, language, mixing, packing, personal_data, quality, substring_dedup
 from skerry.llm.common import stored, table, word_count
 
 
@@ -22,16 +22,33 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(F.col("text")).alias("words"))
     mixed = mixing.mix(stored(docs, "sizes"), F.col("sources"), F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), learn=remainder(3) != 1)
+    return quality.score(docs, network).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = personal_data.described(F.col("base"))
+    return found.select("doc_id", *[count(k) for k in personal_data.KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"), personal_data.described(F.concat("base", "terms")).alias("spans"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,7 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op4_mixing, op6_exact_dedup, op9_packing, op10_language)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_fingerprints, op4_mixing, op5_quality, op6_exact_dedup, op8_personal_data, op9_packing, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
