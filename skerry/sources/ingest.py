@@ -41,12 +41,18 @@ def to_frame(spark: SparkSession, data) -> DataFrame:
     raise TypeError(f"no way to read {type(data).__name__}")
 
 
-def _arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
+def unique(names: list[str]) -> list[str]:
+    """A repeated name gets a number."""
     seen: dict[str, int] = {}
-    names = []
-    for n in table.column_names:
+    out = []
+    for n in names:
         seen[n] = seen.get(n, 0) + 1
-        names.append(n if seen[n] == 1 else f"{n}_{seen[n] - 1}")
+        out.append(n if seen[n] == 1 else f"{n}_{seen[n] - 1}")
+    return out
+
+
+def _arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
+    names = unique(table.column_names)
     table = table.rename_columns(names)
     fields = []
     for column in table.columns:
@@ -78,7 +84,7 @@ def _plain(frame: pd.DataFrame) -> pd.DataFrame:
     out.columns = range(len(columns))
     table = {i: out[i] for i in out.columns}
     made = pd.DataFrame(table)
-    made.columns = [str(x) for x in frame.columns]
+    made.columns = unique([str(x) for x in frame.columns])
     return made
 
 
