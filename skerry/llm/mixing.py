@@ -96,12 +96,13 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights: Sequence[int] =
     is a source of its own); sources by code point, null last, take the weights
     in turn. A row of several sources reports the sums over them. A row without
     sources has target 0 and no copies. Null sizes count as 0; documents of
-    size 0 keep one copy, since they cost nothing. Repeated rows are mixed one by
-    one. The only rows that reach the driver are one for each membership pattern.
+    size 0 keep one copy, since they cost nothing. Repeated rows are mixed alike.
+    Columns of docs named like a new one give way. The only rows that reach the driver are one for each membership pattern.
     """
     spark = docs.sparkSession
     named = F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.struct(s.isNull().alias("none"), s.alias("name")))
-    rows = docs.withColumn("_pattern", F.array_sort(F.array_distinct(named))).withColumn("size", F.coalesce(size, F.lit(0)).cast("long"))
+    rows = docs.select("*", F.array_sort(F.array_distinct(named)).alias("_pattern"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    rows = rows.drop("size", "source_size", "target", "copies").withColumnRenamed("_size", "size")
     rows = rows.withColumn("_at", seeded(F.col(id_col), F.col("size"), seed))
     slim = stored(rows.select("_pattern", "_at", "size"), "mix")
     patterns = {}
@@ -125,6 +126,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights: Sequence[int] =
     sums = binned.groupBy("_pattern", "_bin", "_rest").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_pattern").orderBy("_bin")) - F.col("n")
     cuts = sums.withColumn("_before", before).where("_before < _rest and _before + n >= _rest").select("_pattern", F.col("_bin").alias("_cut"), "_before")
+    cuts = spark.createDataFrame(cuts.collect(), f"{kind}, _cut long, _before long")  # one row for each pattern at most: joined without dealing rows by pattern
     running = Window.partitionBy("_pattern").orderBy("_at", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = binned.join(cuts, "_pattern").where("_bin = _cut").withColumn("_end", F.sum("size").over(running) + F.col("_before"))
     near = F.col("_end") - F.col("_rest") <= F.col("_rest") - (F.col("_end") - F.col("size"))  # the last document only if that comes nearer

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from skerry.llm.common import NULL_ID, table
+from skerry.llm.common import NULL_ID, table, word_count
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times), as rows of their own."""
-    mixed = mixing.mix_by_source(docs)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.array(F.col("source").cast("string")).alias("sources"), word_count(F.col("text")).alias("words"))
+    mixed = mixing.mix(rows, F.col("sources"), F.col("words"))
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
