@@ -312,10 +312,20 @@ def distinct_on(spark, sf_dir):
     return _t(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(first)).where("rn = 1").select("o_custkey", "o_orderkey")
 
 
+def cte_recursive_union(spark, sf_dir):
+    """Reachable nations in a graph with cycles: each goes to (7 k + 3) mod 25 and (k + 5) mod 25."""
+    from skerry.operators.recursive import fixpoint
+
+    edges = _t(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array((F.col("n_nationkey") * 7 + 3) % 25, (F.col("n_nationkey") + 5) % 25)).alias("to"))
+    start = spark.createDataFrame([(4,)], "k int")
+    return fixpoint(start, lambda new: new.join(edges, new["k"] == edges["n_nationkey"]).select("to"))
+
+
 N = "(SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation)"
 DOCS = "(SELECT event_id, cast(props ->> '$.k' AS bigint) AS k, event_type AS kind, value FROM events)"
 
 QUERIES = {
+    "cte_recursive_union": (cte_recursive_union, "WITH RECURSIVE t(k) AS (SELECT 4 UNION SELECT unnest([(k * 7 + 3) % 25, (k + 5) % 25]) FROM t) SELECT k FROM t"),
     "json_nav": (json_nav, f"SELECT event_id, k, kind FROM {DOCS} d WHERE k > 50"),
     "json_expand": (json_expand, f"SELECT event_id, k, kind FROM {DOCS} d"),
     "json_exists": (json_exists, f"SELECT count(*) AS n FROM {DOCS} d WHERE k IS NOT NULL"),

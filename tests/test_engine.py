@@ -231,3 +231,20 @@ def test_connection(spark, tmp_path):
     c.commit()
     assert [tuple(r) for r in c.execute("SELECT k FROM t ORDER BY k")] == [(1,), (2,)]
     assert c.execute("SELECT k FROM t ORDER BY k").fetchmany(1) == [(1,)]
+
+
+def test_types():
+    from skerry.functions import types
+
+    assert types.scalar("ubigint").simpleString() == "decimal(20,0)" and types.scalar("int4[3]").simpleString() == "array<int>"
+    assert types.scalar("timestamptz").simpleString() == "timestamp" and types.decimal_type(10, 2).simpleString() == "decimal(10,2)"
+    assert types.union_type({"a": types.scalar("int"), "b": types.scalar("text")}).fieldNames() == ["tag", "a", "b"]
+    assert types.array_type(types.scalar("int"), 3).metadata == {"length": 3} and types.enum_type(["x"]).metadata["enum"] == ["x"]
+    assert types.promote("int2", "int8") == "bigint" and types.promote("hugeint", "float8") == "double"
+
+
+def test_fixpoint_limit(spark):
+    from skerry.operators.recursive import fixpoint
+
+    with pytest.raises(RuntimeError, match="no fixpoint"):
+        fixpoint(spark.range(1), lambda new: new.select(F.col("id") + 1), most=3)
