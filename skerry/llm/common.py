@@ -24,6 +24,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB between JVM and Python for the plans built from now on, where the session has the defaults."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is configured."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -37,6 +44,8 @@ def stored(df: DataFrame, label: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skerry-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The shuffle files behind the written rows are of no more use; Spark deletes them once the driver collects its garbage.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import NULL_ID, chunks, partitions, stored
+from skerry.llm.common import NULL_ID, chunks, modest_batches, partitions, stored
 from skerry.llm.components import components
 from skerry.llm.grams import ngrams, spans_hash, words
 
@@ -258,6 +258,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     size; a block of m sets costs (m / chunk)**2 / 2 tasks.
     """
     spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     buckets = partitions(spark)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     sketch = stored(keyed.mapInArrow(_sketch(n, percent, buckets), "id long, n int, h1 long, h2 long, bucket int, grams binary, owners binary, counts binary"), "sketch")
@@ -283,7 +284,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
             out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("block", "h1", "copies", "chunk", "k")] + [pa.array(grams, pa.binary())], schema=kind)
             yield out.filter(out.column(5).is_valid())
 
-    full = keyed.join(placed.select(F.col("first").alias("id"), "h1", "block", "copies", "chunk", "k"), "id").mapInArrow(sets, "block long, h1 long, copies long, chunk int, k int, grams binary")
+    # Texts are always dealt by document, at every size: what is wanted of them grows with the input.
+    full = keyed.join(placed.select(F.col("first").alias("id"), "h1", "block", "copies", "chunk", "k").hint("merge"), "id").mapInArrow(sets, "block long, h1 long, copies long, chunk int, k int, grams binary")
     cells = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("ci", F.least("chunk", "other")).withColumn("cj", F.greatest("chunk", "other")).drop("other", "k")
     links = stored(cells.repartition(buckets, "block", "ci", "cj").sortWithinPartitions("block", "ci", "cj").mapInArrow(_links(percent), "a long, b long, n long"), "links")
     roots = components(links.select("a", "b"))
