@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import NULL_ID, chunks, stored
+from skerry.llm.common import NULL_ID, chunks, modest_batches, stored
 from skerry.llm.grams import ngrams, sliding_min, spans_hash, words
 
 
@@ -85,10 +85,11 @@ def factors(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFrame:
     wanted = [(c, "array<long>" if c in ("anchors", "contents") else "array<int>") for c in ("anchors", "begins", "lengths", "contents")]
     cut_rows = stored(docs.mapInArrow(cut, "id long, sig long, " + ", ".join(f"{c} {k}" for c, k in wanted)), "blocks")
     runs = cut_rows.select("id", "sig", F.explode(F.arrays_zip("anchors", "begins", "lengths", "contents")).alias("b")).select("id", "sig", F.col("b.anchors").alias("anchor"), F.col("b.begins").alias("begin"), F.col("b.lengths").alias("length"), F.col("b.contents").alias("content"))
-    shared = runs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("low < high").select("anchor", (F.col("c0") < F.col("c1")).alias("differ"))
+    shared = runs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     here = stored(runs.join(shared, "anchor"), "shared")
     variants = here.groupBy("anchor", "content").agg(F.min(F.struct("id", "sig", "begin", "length")).alias("first"))
-    compared = here.join(variants, ["anchor", "content"])
+    several = variants.groupBy("anchor").agg((F.count("*") > 1).alias("differ"))
+    compared = here.join(variants.join(several, "anchor"), ["anchor", "content"])
     equal = compared.where("id > first.id").select("id", "sig", F.col("begin"), (F.col("begin") + F.col("length") + window - 1).alias("end"))
     # Differing blocks are compared window by window; of equal ones, those of the smallest document.
     wanted = compared.where("differ and id = first.id").groupBy("id", "sig").agg(F.collect_list(F.struct("begin", "length", "anchor")).alias("asked"))
@@ -108,7 +109,8 @@ def factors(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFrame:
             ids, sigs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], sigs[row], np.repeat(anchor, length), every[offsets[row] + at].view(np.int64), at.astype(np.int32))], schema=where)
 
-    texts = docs.join(wanted, ["id", "sig"]).select("id", "sig", "text", "asked").dropDuplicates(["id", "sig"])
+    # Texts are always dealt by document, at every size: what is wanted of them grows with the input.
+    texts = docs.join(wanted.hint("merge"), ["id", "sig"]).select("id", "sig", "text", "asked").dropDuplicates(["id", "sig"])
     each = stored(texts.mapInArrow(windows, "id long, sig long, anchor long, hash long, at int"), "windows")
     lowest = each.groupBy("anchor", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     border = each.join(lowest, ["anchor", "hash"]).where("id > low").select("id", "sig", F.col("at").alias("begin"), (F.col("at") + window).alias("end"))
@@ -125,8 +127,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 25, id_col: st
     than a window keep all words. Other columns are ignored.
     """
     keyed = _keyed(docs, id_col, text_col)
+    modest_batches(docs.sparkSession)
     found = factors(keyed, window, gram).groupBy("id", "sig").agg(F.collect_set(F.struct("begin", "end")).alias("found"))
-    rows = keyed.join(found, ["id", "sig"], "left").select("id", "text", "found")
+    rows = keyed.join(found.hint("merge"), ["id", "sig"], "left").select("id", "text", "found")
     kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept_sha256", pa.string())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
