@@ -9,7 +9,10 @@ buckets of equal length. Each document is handled alone: nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import chunks
+from skerry.llm.common import chunks, modest_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -28,37 +31,89 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-class WordEncoder:
-    """Token ids of whole texts, one encoding for each distinct stretch between ASCII spaces.
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Ids of pieces that the tokenizer's pattern cuts, by its BPE model."""
+
+    def __init__(self, model):
+        self.spell, letters = model.tokenize, _byte_letters()
+        self.letters = [letters[b] for b in range(256)]
+
+    def __missing__(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        ids = self[piece] = array("I", [t.id for t in self.spell(spelt)]).tobytes()
+        return ids
+
+
+class _Words(dict):
+    """Ids of stretches without ASCII spaces, A-Z lower-cased."""
 
-    Splitting there is exact for tokenizers that drop white space and never
-    join across it; ``self_check`` compares with the tokenizer's own result.
-    The memory of known stretches is emptied when it holds ``limit`` of them.
+    def __init__(self, tokenizer, pieces: _Pieces, cut, plain):
+        self.tokenizer, self.pieces, self.cut, self.plain = tokenizer, pieces, cut, plain
+
+    def __missing__(self, word: bytes) -> bytes:
+        text, pieces = word.decode(), self.pieces
+        if not self.plain(text):
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        elif text.isalpha():
+            ids = pieces[text.lower()]
+        elif text[:-1].isalpha() and text[-1] in ".,":
+            ids = pieces[text[:-1].lower()] + pieces[text[-1]]
+        else:
+            ids = b"".join([pieces[p] for p in self.cut(text.lower())])
+        self[word] = ids
+        return ids
+
+
+class WordEncoder:
+    """Token ids of whole texts, each distinct stretch between ASCII spaces encoded once.
+
+    Splitting there is exact for this kind of tokenizer, which drops white space
+    and never joins across it. Stretches of printable Latin-1 are cut into the
+    tokenizer's own pieces (its pattern, letters lower-cased) and each distinct
+    piece goes through its BPE model once; any other stretch, and texts that
+    hold an added token, go through the tokenizer as a whole. What is known is
+    kept up to ``limit`` stretches and pieces, then forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 700_000):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        # Added tokens are matched in the raw text first; a text that holds one is encoded whole.
+        # Added tokens are matched in the raw text first.
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        cutters = given["pre_tokenizer"]["pretokenizers"]
+        plain = [n["type"] for n in given["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cutters] == ["Split", "ByteLevel"] and cutters[0]["behavior"] == "Removed" and cutters[0]["invert"] and not cutters[1]["use_regex"] and not cutters[1]["add_prefix_space"]
+        cut = regex.compile(cutters[0]["pattern"]["Regex"]).findall
+        latin = re.compile("[!-~\u00a1-\u00ff]+").fullmatch
+        self.pieces = _Pieces(self.tokenizer.model)
+        self.known = _Words(self.tokenizer, self.pieces, cut, latin if plain else lambda text: None)
 
     def encode(self, text: bytes) -> np.ndarray:
-        if any(a in text for a in self.added):
+        if any([a in text for a in self.added]):
             return np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-        parts = text.split()
+        for kept in (self.known, self.pieces):
+            if len(kept) > self.limit:
+                kept.clear()
         known = self.known
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(parts))
-            for i in range(0, len(new), 5000):
-                some = new[i : i + 5000]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                    known[p] = np.asarray(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[p] for p in parts]), np.uint32)
+        return np.frombuffer(b"".join([known[p] for p in text.lower().split()]), np.uint32)
+
+
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process, whatever number of tasks it runs."""
+    return WordEncoder(path)
 
 
 def cut(n: int, longest: int) -> list[int]:
@@ -78,12 +133,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     path = tokenizer or tokenizer_file()
+    modest_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], ("bucket", pa.int32())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         following = TaskContext.get().partitionId() << 40
         last = np.array([end_id], np.uint32)
         for batch, texts in chunks(batches, "text"):
