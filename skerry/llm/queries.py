@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import exact_dedup, fingerprint, jaccard_join, language, mixing, packing, personal_data, quality, substring_dedup
+from skerry.llm import exact_dedup, fingerprint, jaccard_join, language, mixing, packing, personal_data, quality, substring_dedup, token_counts
 from skerry.llm.common import stored, table, word_count
 
 
@@ -42,6 +42,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.sums(token_counts.histogram(table(spark, sf_dir, "documents")))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -60,11 +64,46 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_fingerprints, op4_mixing, op5_quality, op6_exact_dedup, op8_personal_data, op9_packing, op10_language)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_fingerprints, op4_mixing, op5_quality, op6_exact_dedup, op7_token_counts, op8_personal_data, op9_packing, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6}
+    return {"op1_substring_dedup": OP1, "op2_jaccard_join": OP2, "op6_exact_dedup": OP6}
+
+
+WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d) t),
+m AS (SELECT k, min(doc_id) AS low FROM p GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM p JOIN m USING (k) WHERE low < doc_id),
+g AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP2 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y, o = nx.n AND o = ny.n AS same
+  FROM o JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * o >= 85 * (nx.n + ny.n - o)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x),
+k AS (SELECT x, count(*) AS links, count(*) FILTER (WHERE same) AS same FROM l GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, c.low) AS component_id,
+       coalesce(links, 0) AS n_links, coalesce(same, 0) + 1 AS copies
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""
 
 
 OP6 = """

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.llm import exact_dedup, fingerprint, jaccard_join, language, mixing, packing, personal_data, quality, queries, stages, substring_dedup
+from skerry.llm import exact_dedup, fingerprint, jaccard_join, language, mixing, packing, personal_data, quality, queries, stages, substring_dedup, token_counts
 from skerry.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, score string, kept string, part int, copies int, bucket int, row string, key string, n int"
@@ -295,6 +295,21 @@ def test_word_encoder(text):
     assert list(e.encode(text.encode())) == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_token_counts(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.tokenizer_file())
+    lengths = [len(tk.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in rows]
+    got = {r.length: r for r in token_counts.sums(token_counts.histogram(docs)).collect()}
+    assert set(got) == set(lengths)
+    for n, r in got.items():
+        assert r.docs == lengths.count(n) and r.tokens == n * r.docs
+        assert r.docs_beyond == sum(x > n for x in lengths) and r.tokens_beyond == sum(x for x in lengths if x > n)
+        assert r.docs_up_to == len(lengths) - r.docs_beyond and r.tokens_up_to == sum(lengths) - r.tokens_beyond
+        assert r.tokens_if_cut == sum(min(x, n) for x in lengths) and abs(r.quantile - r.docs_up_to / len(lengths)) < 1e-12
+    assert token_counts.sums(token_counts.histogram(none)).count() == 0
+
+
 def test_language(spark, docs, rows, none):
     model = language.train(docs, learn=queries.remainder(4) != 2)
     out = language.identify(docs, model).select("doc_id", "lang", "lang_pred", F.col("score").alias("s"), "text", (queries.remainder(4) == 2).alias("held"))
