@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import chunks
+from skerry.llm.common import chunks, modest_batches
 
 EMBED, WIDTH, FILTERS, CHUNK = 6, 6, 16, 384
+#: Windows that are multiplied at once.
+STRETCH = 100_000
 
 
 @dataclass
@@ -53,7 +55,9 @@ def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _pooled(network: Network, texts: list[bytes], where: bool = False):
     """Chunks x FILTERS maxima (ReLU), text of each chunk, and the places of the maxima if asked."""
     raw, begin, text = _layout(texts)
-    act = _windows(network, raw) @ network.filters  # one window after another, whole texts
+    act = np.empty((len(raw) - WIDTH + 1, FILTERS), np.float32)
+    for a in range(0, len(act), STRETCH):  # whole texts, a stretch of windows at a time
+        act[a : a + STRETCH] = _windows(network, raw[a : a + STRETCH + WIDTH - 1]) @ network.filters
     pads = np.append(begin[1:], len(raw))
     last = np.append(text[1:] != text[:-1], True)
     end = np.where(last, pads - WIDTH + 1, pads)
@@ -80,6 +84,17 @@ def scores(network: Network, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def _batches(order: np.ndarray, texts: list[bytes], most: int, limit: int = 400_000) -> Iterator[np.ndarray]:
+    """Rows in order, most at once, and no more than limit bytes unless one text is longer."""
+    begin, size = 0, 0
+    for i, j in enumerate(order):
+        if i > begin and (i - begin == most or size + len(texts[j]) > limit):
+            yield order[begin:i]
+            begin, size = i, 0
+        size += len(texts[j])
+    yield order[begin:]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = 700, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Network:
     """At least steps of Adam on log loss, both labels weighing the same; the same rows give the same network."""
     epochs = max(8, -(-steps * batch // len(texts)))
@@ -92,8 +107,7 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 700, batch: int = 3
     m, v, t = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
-        for i in range(0, len(order), batch):
-            some = order[i : i + batch]
+        for some in _batches(order, texts, batch):
             pool, text, best, raw = _pooled(net, [texts[j] for j in some], True)
             x, count = _combine(pool, text, len(some))
             z = np.clip(x @ net.head, -30, 30)
@@ -142,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_l
 def score(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on). Whole texts are scored; null and empty texts get the score of one empty chunk."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
+    modest_batches(docs.sparkSession)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
