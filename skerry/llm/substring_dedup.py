@@ -89,7 +89,9 @@ def factors(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFrame:
     here = stored(runs.join(shared, "anchor"), "shared")
     variants = here.groupBy("anchor", "content").agg(F.min(F.struct("id", "sig", "begin", "length")).alias("first"))
     several = variants.groupBy("anchor").agg((F.count("*") > 1).alias("differ"))
-    compared = here.join(variants.join(several, "anchor"), ["anchor", "content"])
+    # Written, so that the join is of two plain exchanges, whose large partitions Spark splits.
+    variants = stored(variants.join(several, "anchor"), "variants")
+    compared = here.join(variants, ["anchor", "content"])
     equal = compared.where("id > first.id").select("id", "sig", F.col("begin"), (F.col("begin") + F.col("length") + window - 1).alias("end"))
     # Differing blocks are compared window by window; of equal ones, those of the smallest document.
     wanted = compared.where("differ and id = first.id").groupBy("id", "sig").agg(F.collect_list(F.struct("begin", "length", "anchor")).alias("asked"))
@@ -113,6 +115,7 @@ def factors(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFrame:
     texts = docs.join(wanted.hint("merge"), ["id", "sig"]).select("id", "sig", "text", "asked").dropDuplicates(["id", "sig"])
     each = stored(texts.mapInArrow(windows, "id long, sig long, anchor long, hash long, at int"), "windows")
     lowest = each.groupBy("anchor", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
+    lowest = stored(lowest, "lowest")
     border = each.join(lowest, ["anchor", "hash"]).where("id > low").select("id", "sig", F.col("at").alias("begin"), (F.col("at") + window).alias("end"))
     return equal.unionByName(border)
 
