@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import SPACE, partitions
+from skerry.llm.common import NULL_ID, SPACE, partitions, stored
 
 
 def normalised(text: Column) -> Column:
@@ -76,21 +76,21 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     another: ``kept`` marks their doc_id, and ``deduplicate`` leaves one row.
     Other columns are ignored; an empty table gives an empty result.
     """
-    rows = digests(docs, id_col, text_col)
-    groups = memtable(rows)
+    rows = stored(digests(docs, id_col, text_col), "digests")
+    groups = stored(memtable(rows), "groups")  # written, so that the join below is of two plain exchanges, whose large partitions Spark splits
     found = rows.join(groups.select("digest", "keep_id", "n"), "digest")
     # Hits: members of a digest with several rows, compared with the bytes that stay.
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
-    members = found.where("n > 1").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.coalesce("keep_id", F.lit(2**63 - 1)).alias("keep_id"), "digest").distinct()
-    named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    bodies = members.join(named, "doc_id").withColumn("digest2", F.unhex(F.sha2(F.col("body").cast("binary"), 256))).where("digest = digest2").drop("digest2")
-    return _verified(found, bodies)
+    named = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
+    members = found.where("n > 1").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("keep_id", F.lit(NULL_ID)).alias("keep_id"), "digest").distinct()
+    hits = named.join(members.hint("merge"), "doc_id").where(F.unhex(F.sha2(F.col("body").cast("binary"), 256)) == F.col("digest"))
+    hits = stored(hits, "hits")
+    staying = stored(hits.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("body").alias("kept_body")), "staying")
+    return _verified(found, hits, staying)
 
 
-def _verified(found: DataFrame, bodies: DataFrame) -> DataFrame:
+def _verified(found: DataFrame, hits: DataFrame, staying: DataFrame) -> DataFrame:
     """Mark rows whose bytes differ from those of the row that stays; such a row stays itself."""
-    kept = bodies.where("doc_id = keep_id").groupBy("digest").agg(F.first("body").alias("kept_body"))
-    wrong = bodies.join(kept, "digest").where("body <> kept_body").select(F.col("doc_id").alias("wrong_id"), F.col("digest").alias("wrong_digest")).distinct()
+    wrong = hits.join(staying, "digest").where("body <> kept_body").select(F.col("doc_id").alias("wrong_id"), F.col("digest").alias("wrong_digest")).distinct()
     out = found.join(wrong, (F.col("digest") == F.col("wrong_digest")) & (F.col("doc_id") == F.col("wrong_id")), "left")
     same = F.col("wrong_id").isNull()
     keep = F.when(same, F.col("keep_id")).otherwise(F.col("doc_id"))
