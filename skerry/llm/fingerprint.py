@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import partitions
+from skerry.llm.common import modest_batches, partitions
 from skerry.llm.grams import mixed, spans_hash
 
 BINS = 128
@@ -135,6 +135,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first document of the range after it: nothing is gathered in one place.
     """
     spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     ranges = 4 * partitions(spark)
     cuts = rows.agg(F.approx_percentile("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
