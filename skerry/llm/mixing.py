@@ -122,19 +122,19 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights: Sequence[int] =
     kind = "_pattern array<struct<none:boolean,name:string>>"
     rests = spark.createDataFrame([(key(p), v[3]) for p, v in plan.items()], f"{kind}, _rest long")
     # Where the rest of each pattern ends in the seeded order: sums of bins, then a running sum within one bin.
-    binned = slim.join(rests, "_pattern").withColumn("_bin", F.expr(f"_at div {2**40 // BINS}"))
+    binned = slim.join(F.broadcast(rests), "_pattern").withColumn("_bin", F.expr(f"_at div {2**40 // BINS}"))
     sums = binned.groupBy("_pattern", "_bin", "_rest").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_pattern").orderBy("_bin")) - F.col("n")
     cuts = sums.withColumn("_before", before).where("_before < _rest and _before + n >= _rest").select("_pattern", F.col("_bin").alias("_cut"), "_before")
-    cuts = spark.createDataFrame(cuts.collect(), f"{kind}, _cut long, _before long")  # one row for each pattern at most: joined without dealing rows by pattern
+    cuts = spark.createDataFrame(cuts.collect(), f"{kind}, _cut long, _before long")  # like rests and plans, a row for each pattern at most, which the driver has held: broadcast, so that rows need not be dealt by pattern
     running = Window.partitionBy("_pattern").orderBy("_at", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = binned.join(cuts, "_pattern").where("_bin = _cut").withColumn("_end", F.sum("size").over(running) + F.col("_before"))
+    edge = binned.join(F.broadcast(cuts), "_pattern").where("_bin = _cut").withColumn("_end", F.sum("size").over(running) + F.col("_before"))
     near = F.col("_end") - F.col("_rest") <= F.col("_rest") - (F.col("_end") - F.col("size"))  # the last document only if that comes nearer
     last = edge.groupBy("_pattern").agg(F.coalesce(F.max(F.when(near, F.col("_at"))), F.first("_cut") * (2**40 // BINS) - 1).alias("last"))
     ends = {tuple(None if s["none"] else s["name"] for s in r["_pattern"]): r["last"] for r in last.collect()}
     plans = spark.createDataFrame([(key(p), v[0], v[1], v[2], ends.get(p, -1)) for p, v in plan.items()], f"{kind}, source_size long, target double, _whole int, _last long")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_whole") + (F.col("_at") <= F.col("_last")).cast("int"))
-    return rows.join(plans, "_pattern").withColumn("copies", F.least(copies, F.lit(most)).cast("int")).drop("_pattern", "_at", "_whole", "_last")
+    return rows.join(F.broadcast(plans), "_pattern").withColumn("copies", F.least(copies, F.lit(most)).cast("int")).drop("_pattern", "_at", "_whole", "_last")
 
 
 def mix_by_source(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
