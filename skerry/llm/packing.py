@@ -38,39 +38,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids of pieces that the tokenizer's pattern cuts, by its BPE model."""
-
-    def __init__(self, model):
-        self.spell, letters = model.tokenize, _byte_letters()
-        self.letters = [letters[b] for b in range(256)]
-
-    def __missing__(self, piece: str) -> bytes:
-        spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        ids = self[piece] = array("I", [t.id for t in self.spell(spelt)]).tobytes()
-        return ids
-
-
-class _Words(dict):
-    """Ids of stretches without ASCII spaces, A-Z lower-cased."""
-
-    def __init__(self, tokenizer, pieces: _Pieces, cut, plain):
-        self.tokenizer, self.pieces, self.cut, self.plain = tokenizer, pieces, cut, plain
-
-    def __missing__(self, word: bytes) -> bytes:
-        text, pieces = word.decode(), self.pieces
-        if not self.plain(text):
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        elif text.isalpha():
-            ids = pieces[text.lower()]
-        elif text[:-1].isalpha() and text[-1] in ".,":
-            ids = pieces[text[:-1].lower()] + pieces[text[-1]]
-        else:
-            ids = b"".join([pieces[p] for p in self.cut(text.lower())])
-        self[word] = ids
-        return ids
-
-
 class WordEncoder:
     """Token ids of whole texts, each distinct stretch between ASCII spaces encoded once.
 
@@ -97,8 +64,31 @@ class WordEncoder:
         plain = [n["type"] for n in given["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cutters] == ["Split", "ByteLevel"] and cutters[0]["behavior"] == "Removed" and cutters[0]["invert"] and not cutters[1]["use_regex"] and not cutters[1]["add_prefix_space"]
         cut = regex.compile(cutters[0]["pattern"]["Regex"]).findall
         latin = re.compile("[!-~\u00a1-\u00ff]+").fullmatch
-        self.pieces = _Pieces(self.tokenizer.model)
-        self.known = _Words(self.tokenizer, self.pieces, cut, latin if plain else lambda text: None)
+        self.cut, self.plain = cut, latin if plain else lambda text: None
+        self.spell, letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.letters = [letters[b] for b in range(256)]
+        # Plain dicts of bytes and text: Python's garbage collector passes them over, whatever their size.
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the tokenizer's pattern cuts, by its BPE model."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = self.pieces[piece] = array("I", [t.id for t in self.spell(spelt)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a stretch without ASCII spaces, A-Z lower-cased."""
+        text = word.decode()
+        if not self.plain(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if text.isalpha():
+            return self._piece(text.lower())
+        if text[:-1].isalpha() and text[-1] in ".,":
+            return self._piece(text[:-1].lower()) + self._piece(text[-1])
+        return b"".join([self._piece(p) for p in self.cut(text.lower())])
 
     def encode(self, text: bytes) -> np.ndarray:
         if any([a in text for a in self.added]):
@@ -106,8 +96,10 @@ class WordEncoder:
         for kept in (self.known, self.pieces):
             if len(kept) > self.limit:
                 kept.clear()
-        known = self.known
-        return np.frombuffer(b"".join([known[p] for p in text.lower().split()]), np.uint32)
+        known, parts = self.known, text.lower().split()
+        for new in set(parts).difference(known):
+            known[new] = self._word(new)
+        return np.frombuffer(b"".join([known[p] for p in parts]), np.uint32)
 
 
 @functools.cache
