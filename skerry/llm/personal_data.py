@@ -1,9 +1,9 @@
 """Personal data: exact patterns, and information-theoretic sanitisation around them. DataFrame operations only.
 
-Four kinds of protected entities are found by pattern. The words around all
-entities of the corpus are then counted with the entities they stand next to;
+Four kinds of protected entities are found by pattern. The words of all
+documents are then counted, and with the entities they share a document with;
 a term's disclosure is the information it gives about one entity: the pointwise
-mutual information log2(p(entity | term) / p(entity)) over all such co-occurrences.
+mutual information log2(p(entity | term) / p(entity)) over all documents.
 Terms that point at one entity in several documents, with p(entity | term) and
 information above their thresholds, are spans of the kind ``term``: generalised
 where other terms share their role, removed where they give the entity away.
@@ -56,29 +56,22 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def spans_of(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match, before, after) of all matches, in code points: the text is split by the pattern and lengths are added up.
-
-    ``before`` and ``after`` are up to REACH code points of the pieces beside a match.
-    """
+    """Array of (start, end, match) of all matches, in code points: the text is split by the pattern and lengths are added up."""
     parts = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(F.slice(parts, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+    empty = F.array().cast(SPAN)
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["p"])
         end = start + F.char_length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), F.right(x["p"], F.lit(REACH)).alias("before"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
-    after = F.slice(parts, F.lit(2), F.size(matches))
-    return F.zip_with(found, after, lambda x, p: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["before"].alias("before"), F.left(p, F.lit(REACH)).alias("after")))
+    return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
 
 
-#: Code points on each side of an entity in which terms are looked for.
-REACH = 60
-SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -86,22 +79,55 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(hinted, F.filter(spans_of(text, PATTERNS[kind]), lambda s: valid(kind, s["match"]))).otherwise(F.array().cast(SPAN))
 
 
-def _terms(context: Column, origin: Column, cut: str) -> Column:
-    """Terms of a context as (start, end, term); one that touches the context's cut edge is unsure and left out."""
-    pattern = TERM
-    parts = F.split(context, pattern, -1)
-    matches = F.regexp_extract_all(context, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(parts, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+def _let(value: Column, body) -> Column:
+    """body(value), where the value is computed once however often body and its lambdas read it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def masked(text: Column, base: Column) -> Column:
+    """The text with a space for each code point of a base span."""
+
+    def fill(text):
+        def step(acc, s):
+            gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+        spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+
+    return F.when(F.size(base) == 0, text).otherwise(_let(text, fill))
+
+
+#: Terms whose places are added up in one go; lists of a block grow by copying.
+BLOCK = 128
+
+
+def terms_of(text: Column) -> Column:
+    """All terms of a text as (start, end, term). Places are summed within blocks, so a long text costs linear time."""
     empty = F.array().cast("array<struct<start:int,end:int,term:string>>")
 
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.char_length(x["m"])
-        one = F.struct((origin + start).cast("int").alias("start"), (origin + end).cast("int").alias("end"), F.lower(x["m"]).alias("term"))
-        whole = start > 0 if cut == "left" else end < REACH
-        return F.struct(end.alias("at"), F.when(whole, F.concat(acc["all"], F.array(one))).otherwise(acc["all"]).alias("all"))
+    def one_block(at, block):
+        def step(acc, x):
+            start = acc["at"] + x["gap"]
+            end = start + F.char_length(x["m"])
+            one = F.struct(start.alias("start"), end.alias("end"), F.lower(x["m"]).alias("term"))
+            return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
+
+    def all_blocks(pieces):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(pieces) == 0, empty).otherwise(_let(blocks, from_blocks))
+
+    def from_blocks(blocks):
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + F.char_length(x["m"]))
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + length(block))))
+        return F.flatten(F.zip_with(F.slice(starts, F.lit(1), F.size(blocks)), blocks, one_block))
+
+    matches = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pieces = _let(matches, lambda ms: F.zip_with(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(ms)), ms, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("m"))))
+    return _let(pieces, all_blocks)
 
 
 def _named(kind: str) -> Column:
@@ -113,35 +139,43 @@ def find(docs: DataFrame, min_docs: int = 3, min_share: float = 0.5, min_bits: f
 
     Null texts count as empty. Spans are in code points, end exclusive. Base spans
     are the patterns' valid matches; a match that fails its test is dropped
-    without another try. Terms are counted once per document and entity, over all
-    documents; repeated rows count as documents of their own. Without
+    without another try. Terms are those of whole texts outside base spans;
+    terms, entities and both together are counted once per document, over all
+    documents, and each occurrence of a term that gives away an entity is a span in
+    all documents of that entity. Repeated rows count as documents of their own. Without
     any entity the result has no spans. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), *[base_spans(text, k).alias(k) for k in KINDS], *[text.alias("text")] * keep_text)
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *[base_spans(text, k).alias(k) for k in KINDS])
     rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "spans")
-    every = F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("entity"), s["before"].alias("before"), s["after"].alias("after"))) for k in KINDS])
-    entities = rows.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select("row", F.explode(every).alias("e")).select("row", "e.*")
-    left = _terms(F.col("before"), F.col("start") - F.char_length("before"), "left")
-    right = _terms(F.col("after"), F.col("end"), "right")
-    near = stored(entities.withColumn("t", F.explode(F.concat(left, right))).select("row", "entity", "t.*"), "terms")
+    every, any_base = F.concat(*KINDS), " or ".join(f"size({k}) > 0" for k in KINDS)
+    total = rows.count()
+    entities = rows.where(any_base).select("row", F.explode(F.array_distinct(F.transform(every, lambda s: F.lower(s["match"])))).alias("entity"))
+    # Entities in too few documents, or in so many that no term can give min_bits about them, have no telling terms.
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    known = stored(of_entity.where((F.col("n_entity") >= min_docs) & (F.log2(F.lit(float(total)) / F.col("n_entity")) >= min_bits)), "entities")
+    most = known.agg(F.max("n_entity")).first()[0] or 0
     # Partial sums are taken before each exchange, so a frequent entity or term costs a row for each task.
-    pairs = stored(near.groupBy("entity", "term", "row").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n")), "pairs")
-    of_term = pairs.groupBy("term").agg(F.sum("n").alias("n_term"))
-    of_entity = pairs.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    total = pairs.agg(F.sum("n")).first()[0] or 1
-    likely = pairs.where(F.col("n") >= min_docs).join(of_term, "term").join(of_entity, "entity")
+    each = F.array_distinct(F.transform(F.regexp_extract_all(masked(F.col("text"), every), F.lit(TERM), F.lit(0)), F.lower))
+    of_term = stored(rows.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs), "terms")
+    # Terms too common for min_share with any entity; those in more than a 64th of all documents are few, so they are broadcast.
+    common = of_term.where((F.col("n_term") * F.lit(min_share) > most) & (F.col("n_term") * 64 > total)).select("term")
+    by_doc = entities.join(known.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    of_doc = rows.where(any_base).join(by_doc.hint("merge"), "row").select("row", "entities", masked(F.col("text"), every).alias("text"))
+    beside = stored(of_doc.select("row", "entities", terms_of(F.col("text")).alias("t")), "beside")
+    distinct = beside.select("entities", F.explode(F.array_distinct(F.col("t.term"))).alias("term")).join(F.broadcast(common), "term", "left_anti")
+    pairs = stored(distinct.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "pairs")
+    likely = pairs.join(of_term, "term").join(known, "entity")
     share = F.col("n") / F.col("n_term")
     bits = F.log2(share * F.lit(float(total)) / F.col("n_entity"))
-    telling = likely.where((share >= min_share) & (bits >= min_bits)).select("entity", "term", F.when(bits >= remove_bits, "remove").otherwise("generalise").alias("action"))
+    telling = stored(likely.where((share >= min_share) & (bits >= min_bits)).select("entity", "term", F.when(bits >= remove_bits, "remove").otherwise("generalise").alias("action")), "telling")
+    near = beside.select("row", "entities", F.explode("t").alias("t")).select("row", "t.*", "entities").join(F.broadcast(common), "term", "left_anti").select("row", "start", "end", "term", F.explode("entities").alias("entity"))
     spans = near.join(telling, ["entity", "term"]).select("row", "start", "end", "action").groupBy("row", "start", "end").agg(F.max("action").alias("action"))
     by_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     base = F.concat(*[_named(k) for k in KINDS])
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["action"].alias("action")))
-    # A term inside a base span is part of it.
-    outside = F.filter(terms, lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     joined = rows.join(by_row, "row", "left").withColumn("base", base)
-    return joined.select("doc_id", "base", outside.alias("terms"), *["text"] * keep_text)
+    return joined.select("doc_id", "base", terms.alias("terms"), *["text"] * keep_text)
 
 
 def described(spans: Column) -> Column:

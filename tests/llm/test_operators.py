@@ -270,6 +270,44 @@ def test_telling_terms_and_sanitised_text(spark):
     assert clean[150] == "write to [EMAIL] about common matters"
 
 
+def test_terms_count_over_whole_texts_of_all_documents(spark):
+    import regex
+
+    far = " ".join(f"pad{'abcdefghij'[i % 10]}" for i in range(60))
+    told = [(i, f"Zebulon wrote. {far} zeb@cave.net answers. {far} Greetings, ZEBULON. common") for i in range(4)]
+    other = [(100 + i, f"common matters {far} person{i}@mail.org") for i in range(100)] + [(300 + i, "common matters answers") for i in range(100)] + [(500, "é " * 300 + "zeb@cave.net\U0001f600zebulon"), (501, None)]
+    data = spark.createDataFrame(told + other, "doc_id long, text string")
+    got = {r.doc_id: [tuple(t)[1:3] for t in r.terms] for r in personal_data.find(data).select("doc_id", "terms").collect()}
+    texts = dict(told + other)
+    for i, t in texts.items():  # name in the header, e-mail further on: every place; common words: nowhere
+        want = [m.span() for m in regex.finditer("zebulon|wrote|greetings", (t or "").lower())] if "zeb@cave.net" in (t or "") else []
+        assert got[i] == want, i
+    clean = {r.doc_id: r.text for r in personal_data.sanitise(data).collect()}
+    assert "zebulon" not in clean[0].lower() and clean[0].count("common") == 1
+
+
+def test_telling_terms_against_plain_counts(docs):
+    import regex
+
+    min_docs, min_share, min_bits = 2, 0.3, 1.0
+    got = personal_data.find(docs, min_docs, min_share, min_bits, keep_text=True).select("doc_id", "text", "base", "terms").collect()
+    masks, ents, words = [], [], []
+    for r in got:
+        t = list(r.text)
+        for s in r.base:
+            t[s.start : s.end] = " " * (s.end - s.start)
+        ents.append({r.text[s.start : s.end].lower() for s in r.base})
+        masks.append([(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"\p{L}{3,}", "".join(t))])
+        words.append({w for _, _, w in masks[-1]})
+    n_ent, n_term, n_both = (collections.Counter() for _ in range(3))
+    for e, w in zip(ents, words):
+        n_ent.update(e), n_term.update(w), n_both.update((x, y) for x in e for y in w)
+    telling = {k for k, n in n_both.items() if n >= min_docs and n / n_term[k[1]] >= min_share and np.log2(n / n_term[k[1]] * len(got) / n_ent[k[0]]) >= min_bits}
+    assert telling
+    for r, e, m in zip(got, ents, masks):
+        assert [(t.start, t.end) for t in r.terms] == [(a, b) for a, b, w in m if any((x, w) in telling for x in e)]
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
