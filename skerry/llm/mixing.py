@@ -42,8 +42,11 @@ def min_cost_flow(capacity: dict, members: dict, demand: dict, most: int = 2) ->
     """Words of each (pattern, copy, source): successive cheapest augmenting paths.
 
     capacity: words of a pattern; members: its sources; demand: whole words a
-    source wants. Costs are the copy's number, so paths are found copy by copy
-    with residual arcs between the sources of a pattern.
+    source wants. Costs are the copy's number. A source that takes words of a full
+    copy from another pays what that one gets back, so a path costs what its last
+    copy does: paths are found by the number of that copy, with residual arcs
+    between the sources of a pattern in all copies opened so far. The flow is as
+    large as it can be and, at that size, the cheapest.
     """
     flow: dict = {}
     want = dict(demand)
@@ -51,35 +54,35 @@ def min_cost_flow(capacity: dict, members: dict, demand: dict, most: int = 2) ->
     for p, sources in members.items():
         for s in sources:
             by_source.setdefault(s, []).append(p)
-    for copy in range(most):  # convex costs: all of a cheaper copy's capacity is offered before the next
-        room = dict(capacity)
+    room = {(p, c): n for p, n in capacity.items() for c in range(most)}
+    for top in range(most):  # what no source can reach now stays out of reach, so earlier copies need no second look
         for start in sorted(by_source, key=repr):
             while want.get(start, 0) > 0:
                 seen, queue, hit = {start: None}, [start], None
                 while queue and hit is None:  # breadth first: the fewest reroutings
                     s = queue.pop(0)
-                    for p in by_source[s]:
-                        if room[p] > 0:
-                            hit = (s, p)
+                    for p, copy in ((p, c) for p in by_source[s] for c in range(top + 1)):
+                        if room[p, copy] > 0:
+                            hit = (s, p, copy)
                             break
                         for other in members[p]:
                             if other not in seen and flow.get((p, copy, other), 0) > 0:
-                                seen[other] = (s, p)
+                                seen[other] = (s, p, copy)
                                 queue.append(other)
                 if hit is None:
                     break
-                s, p = hit
-                path, amount, at = [], min(want[start], room[p]), s
+                s, p, copy = hit
+                path, amount, at = [], min(want[start], room[p, copy]), s
                 while seen[at] is not None:
-                    before, through = seen[at]
-                    amount = min(amount, flow[(through, copy, at)])
-                    path.append((before, through, at))
+                    before, through, k = seen[at]
+                    amount = min(amount, flow[(through, k, at)])
+                    path.append((before, through, k, at))
                     at = before
-                room[p] -= amount
+                room[p, copy] -= amount
                 flow[(p, copy, s)] = flow.get((p, copy, s), 0) + amount
-                for before, through, to in path:  # 'to' hands its share of the pattern to 'before'
-                    flow[(through, copy, to)] -= amount
-                    flow[(through, copy, before)] = flow.get((through, copy, before), 0) + amount
+                for before, through, k, to in path:  # 'to' hands its share of the pattern to 'before'
+                    flow[(through, k, to)] -= amount
+                    flow[(through, k, before)] = flow.get((through, k, before), 0) + amount
                 want[start] -= amount
     return flow
 

@@ -190,6 +190,39 @@ def test_flow_reroutes_between_overlapping_sources():
     assert by_source == {"a": 10, "b": 4}
 
 
+def test_flow_reroutes_across_copies():
+    capacity = {("A", "B"): 100, ("A",): 1000}
+    flow = mixing.min_cost_flow(capacity, {p: p for p in capacity}, {"A": 1450, "B": 200}, 2)
+    assert sum(n for (_, _, s), n in flow.items() if s == "A") == 1450 and sum(n for (_, _, s), n in flow.items() if s == "B") == 200
+
+
+def test_flow_against_brute_force():
+    import itertools
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        names = "ABC"[: draw.randint(2, 3)]
+        sets = [p for k in range(1, len(names) + 1) for p in itertools.combinations(names, k)]
+        capacity = {p: draw.randint(0, 4) for p in draw.sample(sets, draw.randint(1, 3))}
+        demand = {s: draw.randint(0, 6) for s in names}
+        flow = mixing.min_cost_flow(capacity, {p: p for p in capacity}, demand, 2)
+        taken, got = collections.Counter(), collections.Counter()
+        for (p, c, s), n in flow.items():
+            assert s in p and n >= 0
+            taken[p, c] += n
+            got[s] += n
+        assert all(n <= capacity[p] for (p, _), n in taken.items()) and all(n <= demand[s] for s, n in got.items())
+        # By Hall's condition, words x of the patterns can all be placed if no group of patterns gives more than its sources want.
+        best = (0, 0)
+        for x in itertools.product(*[range(2 * n + 1) for n in capacity.values()]):
+            by = dict(zip(capacity, x))
+            groups = (g for k in range(1, len(by) + 1) for g in itertools.combinations(by, k))
+            if all(sum(by[p] for p in g) <= sum(demand[s] for s in set().union(*g)) for g in groups):
+                best = min(best, (-sum(x), sum(max(0, n - capacity[p]) for p, n in by.items())))
+        assert (-sum(taken.values()), sum(n for (_, c), n in taken.items() if c == 1)) == best
+
+
 def test_quality(spark, docs, rows, none):
     good = [f"This is a plain sentence number {i} and it reads well enough for anybody." for i in range(60)]
     bad = [f"THI!! IS!! BAD!! {i}!! $$$%% &&& ***" for i in range(60)]
