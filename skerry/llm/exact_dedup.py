@@ -1,13 +1,12 @@
-"""Exact deduplication with a log-structured merge index, in DataFrame operations only.
-
-Digests of the normalised texts go through the levels of a merge index. A
-memtable is one task's map-side aggregate: the first and largest entry of each
-digest it has seen, with a count. Memtables are flushed as runs to the
-exchange, where runs of a key range meet and are compacted to the entry that
-stays, so a group of any size costs one row for each task that holds part of
-it. ``MergeIndex`` keeps such compacted runs as sorted Parquet files with
-Bloom filters and takes further batches. Rows whose digest has several members
-are hits; they are compared byte by byte with the text that stays.
+"""Exact deduplication on digests, in DataFrame operations only.
+
+``find_copies`` is one aggregate on the digest of the normalised texts, which
+stands in for a log-structured merge index: each task's partial aggregate keeps
+the first and largest entry of a digest, with a count, so a group of any size
+costs one row for each task that holds part of it. Rows whose digest has several
+members are hits; they are compared byte by byte with the text that stays.
+``MergeIndex`` keeps such entries as sorted Parquet runs with Bloom filters and
+takes further batches; ``find_copies`` does not use it.
 """
 
 from __future__ import annotations
