@@ -1,4 +1,4 @@
-"""Substring deduplication by Relative Lempel-Ziv parsing.
+"""Substring deduplication by winnowed blocks, which stand in for the factors of Relative Lempel-Ziv parsing.
 
 Reference blocks are content-defined: every window of ``window`` words takes
 the smallest hash among its ``gram``-word sequences as its anchor, and each
@@ -13,7 +13,7 @@ in blocks of smaller documents:
 3. blocks that share an anchor but differ (a passage's borders, edits) are
    compared window by window, the check at factor boundaries.
 
-Greedy parsing then joins adjoining factors into duplicate spans of at least
+No longest factor is searched: parse() joins adjoining factors into duplicate spans of at least
 ``window`` words, and the words of the spans are removed.
 """
 
