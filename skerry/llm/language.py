@@ -107,19 +107,17 @@ def infer(texts: list[str], model: Model, segment: int = 24, penalty: float = 6.
         seg_doc.append(np.full(len(starts), i))
     like, doc = np.concatenate(seg_like), np.concatenate(seg_doc)
     n, k = len(live), len(model.languages)
-    share, _ = proportions(like, doc, n, np.ones((n, k)))
+    share, full = proportions(like, doc, n, np.ones((n, k)))
     order = np.argsort(-share, axis=1, kind="stable")
     size = np.bincount(doc, minlength=n)
     best, best_score = np.zeros((n, k)), np.full(n, -np.inf)
-    for m in range(1, k + 1):  # nested sets of the leading languages
+    for m in range(1, k + 1):  # all nested sets of the leading languages, so that no text's answer hangs on its neighbours
         allowed = np.zeros((n, k))
         np.put_along_axis(allowed, order[:, :m], 1, axis=1)
-        some, loglike = proportions(like, doc, n, allowed)
+        some, loglike = proportions(like, doc, n, allowed) if m < k else (share, full)
         score = loglike - penalty * m * np.log(size + 1)
         better = score > best_score
         best[better], best_score[better] = some[better], score[better]
-        if not better.any():
-            break
     lead = best.argmax(1)
     answers = iter([(model.languages[j], float(min(1.0, row[j])), {model.languages[i]: float(row[i]) for i in np.flatnonzero(row > 1e-6)}) for j, row in zip(lead, best)])
     return [next(answers) if h else ("und", 0.0, {}) for h in has]

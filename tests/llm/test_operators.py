@@ -402,6 +402,17 @@ def test_mixtures_of_languages(docs, rows):
     assert lead == "en" and 0.5 < share < 0.85 and 0.15 < all_shares["fr"] < 0.5
 
 
+def test_languages_do_not_hang_on_neighbours():
+    table = np.zeros((language.CELLS, 3), np.float32)
+    for letter, row in {"a": (0, -5, -20), "b": (-0.1, 0, -20), "c": (-20, -20, 0)}.items():
+        table[language.trigrams(language.code_points(letter * 40))[5]] = row
+    model = language.Model(["A", "B", "C"], table)
+    text = "a" * 480 + "b" * 288 + "c" * 192  # two languages score below one, three above
+    alone, = language.infer([text], model)
+    beside = language.infer([text, "a" * 480 + "c" * 480], model)[0]
+    assert alone == beside and 0.1 < alone[2]["C"] < 0.3
+
+
 def test_stages(spark, docs, none):
     sf = "/root/testdata/sf0.001"
     for stage in (stages.drop_low_quality, stages.drop_exact_copies, stages.drop_near_copies, stages.mix_sources):
