@@ -5,38 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import forget, stored
+from skerry.llm.common import forget, spread_join, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n")), "low")
+    return spread_join(both.where("b > a"), low, ["a"]).select(F.col("b").alias("a"), F.col("low").alias("b")), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    joined = down.join(low, "a")
-    return joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+    low = stored(down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "low")
+    joined = spread_join(down, low, ["a"])
+    return joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))), low
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): root is the smallest node reachable. Nodes without an edge to another are left out.
 
-    Each round is written to the shared folder; rounds end when the edges are
-    the stars of their roots and stay so. A chain of n nodes takes about log n rounds.
+    Each half round is written to the shared folder; rounds end when the edges are
+    the stars of their roots and stay so. A chain of n nodes takes about log n rounds:
+    each round that changes an edge lowers a node, so the rounds come to an end.
+    A node with a large share of all edges is dealt over several tasks.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(most):
+    while True:
         print_of = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if print_of == seen or not print_of[0]:
             break
         seen = print_of
-        after = stored(_small_star(_large_star(now).distinct()).distinct(), "edges")
-        forget(now)
-        now = after
-    else:
-        raise RuntimeError("components did not converge")
+        large, low = _large_star(now)
+        large = stored(large.distinct(), "edges")
+        forget(now, low)
+        small, low = _small_star(large)
+        now = stored(small.distinct(), "edges")
+        forget(large, low)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

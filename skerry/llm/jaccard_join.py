@@ -1,37 +1,42 @@
 """Exact n-gram Jaccard join with prefix trees.
 
-1. Documents with equal n-gram sets form a class; classes are joined, not documents.
+1. Documents with equal n-gram sets form a class, told by a 128-bit digest of the
+   set; classes are joined, not documents.
 2. Sets are ordered by n-gram hash. If two sets are as similar as asked, the
    first ``n - need(n) + quota(n)`` n-grams of each hold ``quota`` common ones, so
    a set whose prefix holds fewer n-grams that any other set's prefix also holds
-   can't link. Only the prefixes are exchanged, packed by hash range.
+   can't link. Only the prefixes are exchanged, as rows that are counted by partial
+   aggregates; the rows of a frequent n-gram are dealt over several tasks.
 3. Of the others, each keeps the rarest of its shared prefix n-grams (a second
    prefix, now in order of frequency), which surely hold a common one with any
    partner. Sets connected through those form blocks; no link leaves a block.
 4. A block's whole sets are stored in a trie in global order. Walking the trie
    adds each edge's n-grams to the overlaps with all sets of the block at once, so
    sets that share a path share the work, and subtrees whose remaining length
-   can't reach the needed overlap are skipped. A large block is cut into chunks,
-   and each pair of chunks is a task.
+   can't reach the needed overlap are skipped. A large block is cut into chunks by
+   the sets' rarest n-grams, and each pair of chunks that share an n-gram of a
+   second prefix is a task; other pairs can't hold a link.
 5. Links give components; only a spanning forest of each task's links leaves it.
 
-Hashes have 64 bits; two n-grams of one document, or two classes, that collide
-count as equal.
+N-gram hashes have 64 bits and rest on digests of the words' bytes; two n-grams of
+one pair of documents that collide would count as equal.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import NULL_ID, chunks, modest_batches, partitions, stored
+from skerry.llm.common import chunks, forget, keyed, named, partitions, spread_join, stored
 from skerry.llm.components import components
-from skerry.llm.grams import ngrams, spans_hash, words
+from skerry.llm.grams import ngrams, spans, words
 
 #: A prefix holds 1 n-gram in QUOTA more than a plain prefix filter needs, so that a link needs that many common ones.
 QUOTA = 10
@@ -50,95 +55,41 @@ def quota(n):
 
 def gram_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text, lower-cased in ASCII; of fewer words the whole sequence is one."""
-    hashes, offsets = words(texts, lower=True)
-    grams = ngrams(hashes, n)
+    lanes, offsets = words(texts, lower=True)
+    grams = ngrams(lanes[0], n)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= n:
             yield np.unique(grams[a : b - n + 1])
         elif b > a:
-            yield spans_hash(hashes[a:b], np.array([0]), np.array([b - a]), 0xD6E8FEB86659FD93)
+            yield spans(lanes[0][a:b], np.array([0]), np.array([b - a]))
         else:
             yield np.zeros(0, np.uint64)
 
 
-def signature(grams: np.ndarray) -> tuple[int, int]:
-    ends = np.array([0]), np.array([len(grams)])
-    return tuple(int(spans_hash(grams, *ends, base).view(np.int64)[0]) for base in (0x9FB21C651E98DF25, 0xE7037ED1A0B428DB))
+def signature(grams: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """128-bit BLAKE2b digest of a set, as two numbers."""
+    return struct.unpack("<qq", hashlib.blake2b(grams.tobytes(), digest_size=16, key=seed.to_bytes(4, "little")).digest())
 
 
-def _sketch(n: int, percent: int, buckets: int):
-    """Rows of documents (bucket null) and, for each batch and range of hashes, the prefix n-grams with their sets."""
-    kind = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
+def _sketch(n: int, percent: int, seed: int):
+    """Texts in; each row's set size and signature out, with the prefix of the set where the batch has not shown it yet."""
+    kind = pa.schema([("none", pa.bool_()), ("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            rows, seen, grams, owner = [], set(), [], []
-            for doc_id, x in zip(batch.column(0).to_pylist(), gram_sets(texts, n)):
-                h1, h2 = signature(x) if len(x) else (0, 0)
-                rows.append((doc_id, len(x), h1, h2))
-                if len(x) and h1 not in seen:
-                    seen.add(h1)
-                    grams.append(x[: len(x) - need(len(x), percent) + quota(len(x))])
-                    owner.append(h1)
-            ids, sizes, h1, h2 = zip(*rows)
-            nil = [pa.nulls(len(rows), f.type) for f in list(kind)[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, sizes, h1, h2), kind)] + nil, schema=kind)
-            if not grams:
-                continue
-            own = np.repeat(np.arange(len(owner)), [len(g) for g in grams])
-            flat, owner = np.concatenate(grams), np.array(owner, np.int64)
-            bucket = (flat % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            flat, own, bucket = flat[order], own[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out = []
-            for a, b in zip(edges, np.append(edges[1:], len(flat))):
-                new = np.flatnonzero(np.diff(own[a:b], prepend=-1))
-                count = np.diff(np.append(new, b - a)).astype(np.uint32)
-                six = flat[a:b].view(np.uint8).reshape(-1, 8)[:, 2:]  # the upper 48 bits, beside what the bucket says
-                out.append((int(bucket[a]), six.tobytes(), owner[own[a:b][new]].tobytes(), count.tobytes()))
-            nil = [pa.nulls(len(out), f.type) for f in list(kind)[:4]]
-            yield pa.RecordBatch.from_arrays(nil + [pa.array(x, f.type) for x, f in zip(zip(*out), list(kind)[4:])], schema=kind)
-
-    return run
+            sizes, first, second, seen, prefixes = [], [], [], set(), []
+            for x in gram_sets(texts, n):
+                h = signature(x, seed) if len(x) else (0, 0)
+                sizes.append(len(x))
+                first.append(h[0])
+                second.append(h[1])
+                fresh = len(x) > 0 and h not in seen
+                seen.add(h)
+                prefixes.append(x[: len(x) - need(len(x), percent) + quota(len(x))].view(np.int64) if fresh else None)
+            columns = [pa.array(x, f.type) for x, f in zip((sizes, first, second, prefixes), list(kind)[3:])]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + columns, schema=kind)
 
-
-def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket after another: each set's n-grams that another set holds too, and how many sets do."""
-
-    def of(parts: list[dict]) -> pa.RecordBatch:
-        six = np.frombuffer(b"".join(p["grams"] for p in parts), np.uint8).reshape(-1, 6)
-        grams = np.zeros((len(six), 8), np.uint8)
-        grams[:, 2:] = six
-        grams = grams.reshape(-1).view(np.uint64)
-        owners = np.frombuffer(b"".join(p["owners"] for p in parts), np.int64)
-        owners = np.repeat(owners, np.frombuffer(b"".join(p["counts"] for p in parts), np.uint32))
-        order = np.argsort(grams, kind="stable")
-        grams, owners = grams[order], owners[order]
-        new = np.diff(grams, prepend=~grams[:1]) != 0
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        grams, owners = grams[several], owners[several]
-        order = np.lexsort((owners, grams))
-        grams, owners = grams[order], owners[order]
-        one = np.ones(len(grams), bool)
-        one[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])  # copies of a set in several batches count once
-        grams, owners = grams[one], owners[one]
-        group = np.cumsum(np.diff(grams, prepend=~grams[:1]) != 0) - 1
-        df = np.bincount(group)[group] if len(group) else group
-        keep = df > 1
-        return pa.RecordBatch.from_arrays([pa.array(owners[keep]), pa.array(grams[keep].view(np.int64)), pa.array(df[keep].astype(np.int32))], names=["h1", "gram", "df"])
-
-    at, parts = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != at and parts:
-                yield of(parts)
-                parts = []
-            at = row["bucket"]
-            parts.append(row)
-    if parts:
-        yield of(parts)
+    return run, "none boolean, id long, sig long, n int, h1 long, h2 long, prefix array<long>"
 
 
 class PrefixTree:
@@ -247,54 +198,122 @@ def _links(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links, copies.
+def _classes(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Sketches of all rows, the classes of equal sets by h1, and the seed by which no two classes share h1."""
+    seed = 0
+    while True:
+        sketch = stored(rows.mapInArrow(*_sketch(n, percent, seed)), "sketch")
+        groups = sketch.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("none", "id", "sig")).alias("first"), F.count("*").alias("copies"))
+        classes = stored(groups, "classes")
+        if classes.groupBy("h1").count().where("count > 1").isEmpty():
+            return sketch, classes, seed
+        forget(sketch, classes)
+        seed += 1
 
-    Documents link when ``100 * intersection >= percent * union`` of their n-gram
-    sets; ``component_id`` is the smallest doc_id reachable, ``n_links`` the
-    number of documents linked with it. Texts without words link with nothing
-    and are their own component. Null doc_ids count as larger than any other.
-    Repeated rows link with one another. No pair is left out, whatever a block's
-    size; a block of m sets costs (m / chunk)**2 / 2 tasks.
+
+def _postings(sketch: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """h1, gram, home: the second prefix of each set that can link (n-grams it shares, rarest first) and the rarest of them.
+
+    N-grams are counted by partial aggregates, and the rows of a frequent one are dealt over several tasks.
+    """
+    prefix = sketch.where("prefix is not null").select("h1", F.explode("prefix").alias("gram"))
+    counted = prefix.groupBy("gram").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n"))
+    grams = stored(counted.where("low < high").select("gram", "n"), "grams")
+    held = spread_join(prefix, grams, ["gram"]).groupBy("h1").agg(F.sort_array(F.collect_set(F.struct(F.col("n").alias("df"), "gram"))).alias("held"))
+    least = F.expr(f"1 + ceil({percent} * n / 100) div {QUOTA}").cast("int")
+    able = held.join(classes.select("h1", "n"), "h1").where(F.size("held") >= least)
+    rare = able.select("h1", F.slice("held", F.lit(1), F.size("held") - least + 1).alias("held"))
+    out = stored(rare.select("h1", F.explode("held.gram").alias("gram"), F.col("held")[0]["gram"].alias("home")), "postings")
+    forget(grams)
+    return out
+
+
+def _placed(postings: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of blocks with their chunk (block, chunk, h1, first, copies), and the pairs of chunks that share an n-gram of a second prefix.
+
+    A block is what is connected through second prefixes. Sets with one rarest
+    n-gram go to one chunk while it has room, so that few pairs of chunks share any.
     """
-    spark = docs.sparkSession
-    modest_batches(docs.sparkSession)
-    buckets = partitions(spark)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    sketch = stored(keyed.mapInArrow(_sketch(n, percent, buckets), "id long, n int, h1 long, h2 long, bucket int, grams binary, owners binary, counts binary"), "sketch")
-    rows = sketch.where("bucket is null").select("id", "n", "h1", "h2")
-    classes = stored(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
-    packed = sketch.where("bucket is not null").select("bucket", "grams", "owners", "counts")
-    shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_grams, "h1 long, gram long, df int")
-    least = F.expr(f"1 + ceil({percent} * n / 100) div {QUOTA}")
-    whole = shared.groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held")).join(classes, "h1").where(F.size("held") >= least)
-    rare = whole.select("h1", F.explode(F.slice("held", F.lit(1), F.size("held") - least.cast("int") + 1)).alias("g")).select("h1", F.col("g.gram").alias("gram"))
-    postings = stored(rare, "postings")
-    low = postings.groupBy("gram").agg(F.min("h1").alias("b"), F.max("h1").alias("last")).where("b < last").drop("last")
-    blocks = components(postings.join(low, "gram").select(F.col("h1").alias("a"), "b"))
-    members = stored(blocks.select(F.col("node").alias("h1"), F.col("root").alias("block")).join(classes, "h1"), "members")
-    sizes = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_SETS)), F.ceil(F.sum("n") / F.lit(CHUNK_GRAMS))).cast("int").alias("k"))
-    placed = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("h1"), F.col("k")).cast("int"))
+    low = stored(postings.groupBy("gram").agg(F.min("h1").alias("b"), F.max("h1").alias("last"), F.count("*").alias("n")).where("b < last").drop("last"), "low")
+    blocks = components(spread_join(postings, low, ["gram"]).select(F.col("h1").alias("a"), "b"))
+    homes = postings.groupBy("h1").agg(F.first("home").alias("home"))
+    members = blocks.select(F.col("node").alias("h1"), F.col("root").alias("block")).join(classes, "h1").join(homes, "h1")
+    members = stored(members.select("block", "h1", "first", "copies", "n", "home"), "members")
+    parts = lambda: F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_SETS)), F.ceil(F.sum("n") / F.lit(CHUNK_GRAMS)))
+    rows = members.select("*", F.col("n").alias("grams")).drop("n")
+    sizes = stored(members.groupBy("block").agg(parts().alias("k"), F.count("*").alias("n")), "sizes")
+    bins = spread_join(rows, sizes, ["block"]).drop("n").withColumn("bin", F.pmod(F.xxhash64("home"), F.col("k")))
+    fill = bins.withColumnRenamed("grams", "n").groupBy("block", "bin").agg(parts().alias("m"), F.count("*").alias("rows"))
+    fill = stored(fill.withColumnRenamed("rows", "n"), "fill")
+    chunk = F.col("bin") * (1 << 31) + F.pmod(F.xxhash64("h1"), F.col("m"))
+    placed = stored(spread_join(bins, fill, ["block", "bin"]).select("block", chunk.alias("chunk"), "h1", "first", "copies", ((F.col("k") > 1) | (F.col("m") > 1)).alias("cut")), "placed")
+    held = spread_join(postings.select("h1", "gram"), low.select("gram", "n"), ["gram"]).drop("n").join(placed.where("cut").select("h1", "block", "chunk"), "h1")
+    lists = held.groupBy("gram", "block").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))
+    later = F.transform("chunks", lambda x, i: F.transform(F.slice(F.col("chunks"), i + 1, F.size("chunks")), lambda y: F.struct(x.alias("ci"), y.alias("cj"))))
+    pairs = lists.select("block", F.explode(F.flatten(later)).alias("p")).select("block", "p.*").distinct()
+    return placed, stored(pairs, "pairs")
+
+
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (none, id, sig, n, h1, h2) and classes with their root and component: the work behind jaccard_join."""
+    rows = keyed(docs, id_col, text_col)
+    sketch, classes, seed = _classes(rows, n, percent)
+    postings = _postings(sketch, classes, percent)
+    placed, pairs = _placed(postings, classes)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([(c, pa.int64()) for c in ("block", "h1", "copies")] + [("chunk", pa.int32()), ("k", pa.int32()), ("grams", pa.binary())])
+        kind = pa.schema([("block", pa.int64()), ("h1", pa.int64()), ("copies", pa.int64()), ("chunk", pa.int64()), ("cut", pa.bool_()), ("grams", pa.binary())])
         for batch, texts in chunks(batches, "text"):
             wanted = batch.column(batch.schema.get_field_index("h1")).to_pylist()
-            grams = [x.tobytes() if len(x) and signature(x)[0] == h else None for x, h in zip(gram_sets(texts, n), wanted)]
-            out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("block", "h1", "copies", "chunk", "k")] + [pa.array(grams, pa.binary())], schema=kind)
+            grams = [x.tobytes() if len(x) and signature(x, seed)[0] == h else None for x, h in zip(gram_sets(texts, n), wanted)]
+            out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kind.names[:-1]] + [pa.array(grams, pa.binary())], schema=kind)
             yield out.filter(out.column(5).is_valid())
 
     # Texts are always dealt by document, at every size: what is wanted of them grows with the input.
-    full = keyed.join(placed.select(F.col("first").alias("id"), "h1", "block", "copies", "chunk", "k").hint("merge"), "id").mapInArrow(sets, "block long, h1 long, copies long, chunk int, k int, grams binary")
-    cells = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("ci", F.least("chunk", "other")).withColumn("cj", F.greatest("chunk", "other")).drop("other", "k")
-    links = stored(cells.repartition(buckets, "block", "ci", "cj").sortWithinPartitions("block", "ci", "cj").mapInArrow(_links(percent), "a long, b long, n long"), "links")
+    wanted = placed.select("first.none", "first.id", "first.sig", "h1", "block", "copies", "chunk", "cut").hint("merge")
+    full = stored(rows.join(wanted, ["none", "id", "sig"]).mapInArrow(sets, "block long, h1 long, copies long, chunk long, cut boolean, grams binary"), "sets")
+    whole = full.where("not cut").withColumn("ci", F.col("chunk")).withColumn("cj", F.col("chunk"))
+    sides = pairs.select("block", F.col("ci").alias("chunk"), "ci", "cj").unionByName(pairs.where("ci < cj").select("block", F.col("cj").alias("chunk"), "ci", "cj"))
+    cells = whole.unionByName(full.where("cut").join(sides.hint("merge"), ["block", "chunk"])).drop("cut")
+    buckets = partitions(docs.sparkSession)
+    links = cells.repartition(buckets, "block", "ci", "cj").sortWithinPartitions("block", "ci", "cj").mapInArrow(_links(percent), "a long, b long, n long")
+    links = stored(links, "links")
     roots = components(links.select("a", "b"))
     linked = links.groupBy(F.col("a").alias("h1")).agg(F.sum("n").alias("linked"))
-    named = classes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").join(linked, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component"))
-    answers = named.join(smallest, "root").select("h1", "h2", "n", "component", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return rows.join(answers, ["h1", "h2", "n"], "left").select(_id("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), _id(F.coalesce("component", "id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    all_of = classes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").join(linked, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    all_of = stored(all_of, "linked")
+    smallest = stored(all_of.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "smallest")
+    answers = spread_join(all_of.withColumnRenamed("n", "grams"), smallest, ["root"]).drop("n")
+    answers = stored(answers.select("h1", "h2", "root", "component", F.col("copies").alias("n"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links")), "answers")
+    forget(postings, placed, pairs, full, links, all_of, smallest, classes)
+    return sketch.select("none", "id", "sig", F.col("n").alias("grams"), "h1", "h2"), answers
 
 
-def _id(column: Column | str) -> Column:
-    return F.nullif(F.col(column) if isinstance(column, str) else column, F.lit(NULL_ID))
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links, copies.
+
+    Documents link when ``100 * intersection >= percent * union`` of their n-gram
+    sets; ``component_id`` is the smallest doc_id reachable, ``n_links`` the
+    number of documents linked with it. Texts without words (null ones too) link
+    with nothing and are their own component. Null doc_ids count as larger than
+    any other, whatever its value. Repeated rows link with one another. An empty
+    table gives an empty result; other columns are ignored. Whole texts count,
+    whatever their length, and no link is left out, whatever a block's size.
+    """
+    rows, answers = _joined(docs, n, percent, id_col, text_col)
+    joined = rows.where("grams > 0").transform(lambda r: spread_join(r, answers, ["h1", "h2"]))
+    linked = joined.select(named(F.col("none"), F.col("id")).alias("doc_id"), F.col("grams").cast("long").alias("n_shingles"), named(F.col("component.none"), F.col("component.id")).alias("component_id"), F.col("links").alias("n_links"), F.col("n").alias("copies"))
+    own = named(F.col("none"), F.col("id"))
+    alone = rows.where("grams = 0").select(own.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), own.alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+    return linked.unionByName(alone)
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """none, id, sig, n: the rows that stand for their group, n times in docs: the smallest doc_id, then the smallest sig.
+
+    Each row without words is a group of its own, so all such rows are listed (n is 1 for them).
+    """
+    rows, answers = _joined(docs, n, percent, id_col, text_col)
+    kept = rows.where("grams > 0").join(answers.select("component.*").distinct().hint("merge"), ["none", "id", "sig"], "left_semi")
+    several = kept.groupBy("none", "id", "sig").agg(F.count("*").alias("n"))
+    return several.unionByName(rows.where("grams = 0").groupBy("none", "id", "sig").agg(F.lit(1).cast("long").alias("n")))
