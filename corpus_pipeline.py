@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm import stages
-from skerry.llm.common import stored, table
+from skerry.llm.common import forget, intermediates, stored, table
 
 STAGES = [
     ("quality classifier", stages.drop_low_quality),
@@ -21,7 +21,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0])
+        with intermediates(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name.split()[0]))
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

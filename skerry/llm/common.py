@@ -51,12 +51,18 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, label: str = "part") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
     path = f"{shared_folder(spark)}/skerry-{label}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str = "part") -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
     with _shuffles_freed(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -151,7 +157,3 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
                 yield batch.slice(begin, i - begin), [t or b"" for t in texts.slice(begin, i - begin).to_pylist()]
                 begin, size = i, 0
             size += n + 1
-
-
-NULL_ID = 2**63 - 1
-def modest_batches(spark): pass

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import modest_batches, partitions
+from skerry.llm.common import partitions, stored, text_key
 from skerry.llm.grams import mixed, spans_hash
 
 BINS = 128
@@ -131,35 +131,37 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The next document has the next smaller doc_id; the smallest is followed by the
     largest. Null doc_ids come last; rows of one doc_id follow each other by a
     hash of their text. Null texts count as empty. A single document follows
-    itself. Texts are dealt out by ranges of doc_id, and each range also gets the
-    first document of the range after it: nothing is gathered in one place.
+    itself. Texts are dealt out by ranges of doc_id, an identifier that holds many
+    rows by ranges of that hash as well, and each range also gets the first
+    document of the range after it: nothing is gathered in one place.
     """
+    from pyspark.sql.pandas.functions import arrow_udf
+
     spark = docs.sparkSession
-    modest_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    named = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(named.alias("doc_id"), text.alias("text"), F.coalesce(named, F.lit(-(2**63))).alias("key"), text_key(text).alias("mark"))
     ranges = 4 * partitions(spark)
     cuts = rows.agg(F.approx_percentile("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-    cuts = np.unique(np.array(cuts or [], np.int64))
-    from pyspark.sql.pandas.functions import arrow_udf
+    cuts = np.array(cuts or [], np.int64)  # an identifier with many rows stands there several times
 
-    def place(key: pa.Array) -> pa.Array:
-        return pa.array(len(cuts) - np.searchsorted(cuts, key.to_numpy(zero_copy_only=False), "left"))
+    def place(key: pa.Array, mark: pa.Array) -> pa.Array:
+        key, mark = (x.to_numpy(zero_copy_only=False) for x in (key, mark))
+        low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+        share = (mark.astype(np.float64) + 2.0**63) / 2.0**64  # rises with the mark
+        return pa.array(len(cuts) - (high - np.minimum((share * (high - low + 1)).astype(np.int64), high - low)))
 
-    place.__annotations__ = {"key": pa.Array, "return": pa.Array}
+    place.__annotations__ = {"key": pa.Array, "mark": pa.Array, "return": pa.Array}
     part = arrow_udf(place, "long")
-    heads = rows.select("key").withColumn("part", part("key")).groupBy("part").agg(F.max("key").alias("head")).orderBy("part").collect()  # one row for each range
-    heads = [(r["part"], r["head"]) for r in heads]
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-
-    def follow(key: pa.Array) -> pa.Array:
-        return pa.array([before.get(k) for k in key.to_pylist()], pa.int64())
-
-    follow.__annotations__ = {"key": pa.Array, "return": pa.Array}
-    also = arrow_udf(follow, "long")
-    placed = rows.withColumn("part", part("key")).withColumn("also", also("key"))
-    copies = placed.withColumn("to", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("extra"), F.col("part")), F.when(F.col("also").isNotNull(), F.struct(F.lit(1).alias("extra"), F.col("also").alias("part")))), lambda x: x.isNotNull())))
-    dealt = copies.select("doc_id", "text", "key", F.col("to.part").alias("part"), F.col("to.extra").alias("extra")).withColumn("mark", F.xxhash64("text"))
-    dealt = dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "extra", F.desc("key"), "mark").drop("mark", "key")
+    placed = rows.withColumn("part", part("key", "mark"))
+    first = F.min(F.struct(F.bitwise_not("key").alias("down"), "mark")).alias("head")  # ~ turns the order of numbers round
+    heads = stored(placed.select("key", "mark", "part").groupBy("part").agg(first), "heads")
+    order = sorted(r["part"] for r in heads.select("part").collect())  # a row for each range
+    before = spark.createDataFrame([(p, order[i - 1]) for i, p in enumerate(order)], "part long, to long")
+    wanted = heads.join(F.broadcast(before), "part").select("to", F.bitwise_not("head.down").alias("key"), F.col("head.mark").alias("mark"))
+    extra = rows.join(F.broadcast(wanted), ["key", "mark"]).dropDuplicates(["to"]).select("doc_id", "text", "key", "mark", F.col("to").alias("part"), F.lit(1).alias("extra"))
+    dealt = placed.withColumn("extra", F.lit(0)).unionByName(extra)
+    dealt = dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "extra", F.col("doc_id").isNull(), F.desc("key"), "mark").select("doc_id", "text", "part", "extra")
     kind = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

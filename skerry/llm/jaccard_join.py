@@ -309,11 +309,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """none, id, sig, n: the rows that stand for their group, n times in docs: the smallest doc_id, then the smallest sig.
+    """none, id, sig, n: the rows that stand for their group of linked texts, n times in docs: the smallest doc_id, then the smallest sig.
 
-    Each row without words is a group of its own, so all such rows are listed (n is 1 for them).
+    Rows without words belong to no group and are not listed.
     """
     rows, answers = _joined(docs, n, percent, id_col, text_col)
     kept = rows.where("grams > 0").join(answers.select("component.*").distinct().hint("merge"), ["none", "id", "sig"], "left_semi")
-    several = kept.groupBy("none", "id", "sig").agg(F.count("*").alias("n"))
-    return several.unionByName(rows.where("grams = 0").groupBy("none", "id", "sig").agg(F.lit(1).cast("long").alias("n")))
+    return kept.groupBy("none", "id", "sig").agg(F.count("*").alias("n"))

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import chunks, modest_batches
+from skerry.llm.common import chunks, packed
 
 #: Cells of the hashed trigram tables.
 CELLS = 1 << 16
+#: Trigrams that are looked up at once.
+STEP = 200_000
 
 
 @dataclass
@@ -42,11 +44,23 @@ def trigrams(x: np.ndarray) -> np.ndarray:
     return ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.int64)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", learn: Column | None = None, per_language: int = 400, seed: int = 5) -> Model:
-    """Fit trigram models on about ``per_language`` whole texts of each language (a documented bound), drawn by a seeded hash."""
+def cells_of(x: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """trigrams(x), step of them at a time."""
+    for a in range(0, max(len(x) - 2, 0), step):
+        yield trigrams(x[a : a + step + 2])
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", learn: Column | None = None, per_language: int = 400, seed: int = 5, most_languages: int = 1000) -> Model:
+    """Fit trigram models on about ``per_language`` whole texts of each language (a documented bound), drawn by a seeded hash.
+
+    The model is a table of CELLS x languages that every task holds: a column
+    with more than ``most_languages`` values is not one of languages and is an error.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if learn is None else rows.where(learn)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values")
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32))
@@ -54,13 +68,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     sample = rows.where(draw < rate[F.col(lang_col)])
     order = {k: i for i, k in enumerate(languages)}
-    modest_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(order), CELLS), np.int64)
         for batch, texts in chunks(batches, "text"):
             for lang, text in zip(batch.column(0).to_pylist(), texts):
-                sums[order[lang]] += np.bincount(trigrams(code_points(text.decode("utf-8", "replace"))), minlength=CELLS)
+                for cells in cells_of(code_points(text.decode("utf-8", "replace")), STEP):
+                    sums[order[lang]] += np.bincount(cells, minlength=CELLS)
         at, cell = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cell), pa.array(sums[at, cell])], names=["lang", "cell", "n"])
 
@@ -100,11 +114,10 @@ def infer(texts: list[str], model: Model, segment: int = 24, penalty: float = 6.
     seg_like, seg_doc = [], []
     live = [t for t, h in zip(texts, has) if h]
     for i, t in enumerate(live):
-        cells = trigrams(code_points(t))
-        x = model.table[cells]
-        starts = np.arange(0, len(cells), segment)
-        seg_like.append(np.add.reduceat(x, starts, axis=0, dtype=np.float64))
-        seg_doc.append(np.full(len(starts), i))
+        for cells in cells_of(code_points(t), STEP // segment * segment):  # scores of a long text's trigrams are summed a stretch at a time
+            starts = np.arange(0, len(cells), segment)
+            seg_like.append(np.add.reduceat(model.table[cells], starts, axis=0, dtype=np.float64))
+            seg_doc.append(np.full(len(starts), i))
     like, doc = np.concatenate(seg_like), np.concatenate(seg_doc)
     n, k = len(live), len(model.languages)
     share, full = proportions(like, doc, n, np.ones((n, k)))
@@ -130,8 +143,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", **how) -> Da
     are scored, whatever their length. Rows are handled one by one, so repeated
     rows and clashing extra columns pass through unchanged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x languages: of fixed size
-    modest_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x most_languages at the most
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
@@ -144,7 +156,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", **how) -> Da
     from pyspark.sql.pandas.functions import arrow_udf
 
     found = arrow_udf(_typed(score), "struct<lang_pred:string,score:double,languages:map<string,double>>")
-    return docs.withColumn("_found", found(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "languages")], "_found.*")
+    new = ("lang_pred", "score", "languages")
+    return packed(docs, found=found(F.col(f"`{text_col}`"))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in new], "found.*")
 
 
 def _typed(score):

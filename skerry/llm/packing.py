@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import chunks, modest_batches
+from skerry.llm.common import chunks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -125,7 +125,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     path = tokenizer or tokenizer_file()
-    modest_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], ("bucket", pa.int32())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,3 +146,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, SCHEMA + ", ids array<int>" * with_ids)
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Write pieces under one folder for each length (bucket=0 holds length 1, bucket=12 length 4096), so that batches of one length are read without padding.
+
+    Nothing is shuffled: each task writes its own pieces of each of the few lengths.
+    """
+    pieces.write.partitionBy("bucket").parquet(path)

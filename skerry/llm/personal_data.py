@@ -7,6 +7,10 @@ mutual information log2(p(entity | term) / p(entity)) over all documents.
 Terms that point at one entity in several documents, with p(entity | term) and
 information above their thresholds, are spans of the kind ``term``: generalised
 where other terms share their role, removed where they give the entity away.
+
+Long strings of mixed letters and digits (keys, passwords, tokens) are terms that
+reveal the documents that hold them, and so their holder: log2(documents / those
+with the string) bits. Beyond the same threshold they are spans of the kind ``secret``.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import stored
+from skerry.llm.common import forget, stored, text_key
 
 #: Kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone")
@@ -31,6 +35,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{3,}"
+#: 16 letters and digits or more without a break, some of each kind.
+SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"
 
 
 def _digits(match: Column) -> Column:
@@ -55,22 +61,6 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match) of all matches, in code points: the text is split by the pattern and lengths are added up."""
-    parts = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(parts, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    empty = F.array().cast(SPAN)
-
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.char_length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
-
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
-
-
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -99,19 +89,19 @@ def masked(text: Column, base: Column) -> Column:
     return F.when(F.size(base) == 0, text).otherwise(_let(text, fill))
 
 
-#: Terms whose places are added up in one go; lists of a block grow by copying.
+#: Matches whose places are added up in one go; lists of a block grow by copying.
 BLOCK = 128
 
 
-def terms_of(text: Column) -> Column:
-    """All terms of a text as (start, end, term). Places are summed within blocks, so a long text costs linear time."""
-    empty = F.array().cast("array<struct<start:int,end:int,term:string>>")
+def spans_of(text: Column, pattern: str) -> Column:
+    """All matches of a text as (start, end, match), in code points. Places are summed within blocks, so a long text costs linear time."""
+    empty = F.array().cast(SPAN)
 
     def one_block(at, block):
         def step(acc, x):
             start = acc["at"] + x["gap"]
             end = start + F.char_length(x["m"])
-            one = F.struct(start.alias("start"), end.alias("end"), F.lower(x["m"]).alias("term"))
+            one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))
             return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
         return F.aggregate(block, F.struct(at.alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
@@ -125,57 +115,82 @@ def terms_of(text: Column) -> Column:
         starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + length(block))))
         return F.flatten(F.zip_with(F.slice(starts, F.lit(1), F.size(blocks)), blocks, one_block))
 
-    matches = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    pieces = _let(matches, lambda ms: F.zip_with(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(ms)), ms, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("m"))))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = _let(matches, lambda ms: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms)), ms, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("m"))))
     return _let(pieces, all_blocks)
 
 
+def terms_of(text: Column) -> Column:
+    """All terms of a text as (start, end, term), in lower case."""
+    return F.transform(spans_of(text, TERM), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("term")))
+
+
 def _named(kind: str) -> Column:
     return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("remove").alias("action")))
 
 
+def _secrets(rows: DataFrame, total: int, min_bits: float) -> DataFrame:
+    """row, secrets (start, end): strings of SECRET that few enough texts hold."""
+    each = rows.where("size(opaque) > 0")
+    held = each.select("sig", F.explode(F.array_distinct(F.transform("opaque", lambda s: s["match"]))).alias("match")).distinct()
+    known = held.groupBy("match").agg(F.count("*").alias("n")).where(F.log2(F.lit(float(max(total, 1))) / F.col("n")) >= min_bits).select("match")
+    found = each.select("row", F.explode("opaque").alias("s")).select("row", "s.*").join(stored(known, "secrets").hint("merge"), "match", "left_semi")
+    return found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("secrets"))
+
+
 def find(docs: DataFrame, min_docs: int = 3, min_share: float = 0.5, min_bits: float = 5.0, remove_bits: float = 9.0, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, base and terms (arrays of kind, start, end, action), and the text if asked.
+    """One row per document: doc_id, base, terms and secrets (arrays of kind, start, end, action), and the text if asked.
 
     Null texts count as empty. Spans are in code points, end exclusive. Base spans
     are the patterns' valid matches; a match that fails its test is dropped
-    without another try. Terms are those of whole texts outside base spans;
-    terms, entities and both together are counted once per document, over all
-    documents, and each occurrence of a term that gives away an entity is a span in
-    all documents of that entity. Repeated rows count as documents of their own. Without
-    any entity the result has no spans. Other columns are ignored.
+    without another try. Terms and secrets are those of whole texts outside base
+    spans; terms, entities and both together are counted once per distinct text,
+    over all documents (repeated rows and copies are no further evidence), and each
+    occurrence of a term that gives away an entity is a span in all documents of
+    that entity. Every row gets its spans, repeated or not. Without any entity
+    there are no terms; a table of fewer than 2 ** min_bits texts has neither terms
+    nor secrets. Other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *[base_spans(text, k).alias(k) for k in KINDS])
-    rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "spans")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *[base_spans(text, k).alias(k) for k in KINDS])
     every, any_base = F.concat(*KINDS), " or ".join(f"size({k}) > 0" for k in KINDS)
-    total = rows.count()
-    entities = rows.where(any_base).select("row", F.explode(F.array_distinct(F.transform(every, lambda s: F.lower(s["match"])))).alias("entity"))
-    # Entities in too few documents, or in so many that no term can give min_bits about them, have no telling terms.
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    known = stored(of_entity.where((F.col("n_entity") >= min_docs) & (F.log2(F.lit(float(total)) / F.col("n_entity")) >= min_bits)), "entities")
+    opaque = F.when(F.col("text").rlike(SECRET), spans_of(masked(F.col("text"), every), SECRET)).otherwise(F.array().cast(SPAN))
+    rows = stored(found.select("*", opaque.alias("opaque"), text_key(F.col("text")).alias("sig"), F.monotonically_increasing_id().alias("row")), "spans")
+    lead = stored(rows.groupBy("sig").agg(F.min("row").alias("row")).select("row"), "lead")
+    total = lead.count()
+    texts = rows.join(lead.hint("merge"), "row", "left_semi")  # each distinct text once
+    entities_of = F.explode(F.array_distinct(F.transform(every, lambda s: F.lower(s["match"])))).alias("entity")
+    of_entity = texts.where(any_base).select(entities_of).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Entities in too few texts, or in so many that no term can give min_bits about them, have no telling terms.
+    known = stored(of_entity.where((F.col("n_entity") >= min_docs) & (F.log2(F.lit(float(max(total, 1))) / F.col("n_entity")) >= min_bits)), "entities")
     most = known.agg(F.max("n_entity")).first()[0] or 0
     # Partial sums are taken before each exchange, so a frequent entity or term costs a row for each task.
     each = F.array_distinct(F.transform(F.regexp_extract_all(masked(F.col("text"), every), F.lit(TERM), F.lit(0)), F.lower))
-    of_term = stored(rows.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs), "terms")
-    # Terms too common for min_share with any entity; those in more than a 64th of all documents are few, so they are broadcast.
+    of_term = stored(texts.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs), "terms")
+    # Terms too common for min_share with any entity. They are those in more than a 64th of all texts at the most, and
+    # broadcast if there are few of them; their rows would be dropped by the thresholds below in any case.
     common = of_term.where((F.col("n_term") * F.lit(min_share) > most) & (F.col("n_term") * 64 > total)).select("term")
-    by_doc = entities.join(known.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    few = common.limit(100_001).count() <= 100_000
+    uncommon = (lambda d: d.join(F.broadcast(common), "term", "left_anti")) if few else lambda d: d
+    entities = rows.where(any_base).select("row", entities_of)
+    by_doc = entities.join(known.select("entity").hint("merge"), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
     of_doc = rows.where(any_base).join(by_doc.hint("merge"), "row").select("row", "entities", masked(F.col("text"), every).alias("text"))
     beside = stored(of_doc.select("row", "entities", terms_of(F.col("text")).alias("t")), "beside")
-    distinct = beside.select("entities", F.explode(F.array_distinct(F.col("t.term"))).alias("term")).join(F.broadcast(common), "term", "left_anti")
+    distinct = uncommon(beside.join(lead.hint("merge"), "row", "left_semi").select("entities", F.explode(F.array_distinct(F.col("t.term"))).alias("term")))
     pairs = stored(distinct.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "pairs")
-    likely = pairs.join(of_term, "term").join(known, "entity")
+    likely = pairs.join(of_term.hint("merge"), "term").join(known.hint("merge"), "entity")
     share = F.col("n") / F.col("n_term")
     bits = F.log2(share * F.lit(float(total)) / F.col("n_entity"))
     telling = stored(likely.where((share >= min_share) & (bits >= min_bits)).select("entity", "term", F.when(bits >= remove_bits, "remove").otherwise("generalise").alias("action")), "telling")
-    near = beside.select("row", "entities", F.explode("t").alias("t")).select("row", "t.*", "entities").join(F.broadcast(common), "term", "left_anti").select("row", "start", "end", "term", F.explode("entities").alias("entity"))
-    spans = near.join(telling, ["entity", "term"]).select("row", "start", "end", "action").groupBy("row", "start", "end").agg(F.max("action").alias("action"))
-    by_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    base = F.concat(*[_named(k) for k in KINDS])
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["action"].alias("action")))
-    joined = rows.join(by_row, "row", "left").withColumn("base", base)
-    return joined.select("doc_id", "base", terms.alias("terms"), *["text"] * keep_text)
+    near = uncommon(beside.select("row", "entities", F.explode("t").alias("t")).select("row", "t.*", "entities")).select("row", "start", "end", "term", F.explode("entities").alias("entity"))
+    spans = near.join(telling.hint("merge"), ["entity", "term"]).select("row", "start", "end", "action").groupBy("row", "start", "end").agg(F.max("action").alias("action"))
+    by_row = stored(spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms")), "by-row")
+    secrets = stored(_secrets(rows, total, min_bits), "by-row")
+    forget(lead, known, of_term, beside, pairs, telling)
+    joined = rows.join(by_row.hint("merge"), "row", "left").join(secrets.hint("merge"), "row", "left").withColumn("base", F.concat(*[_named(k) for k in KINDS]))
+    listed = lambda c, kind, action: F.transform(F.coalesce(c, F.array()), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action")))
+    terms = listed(F.col("terms"), "term", lambda s: s["action"])
+    return joined.select("doc_id", "base", terms.alias("terms"), listed(F.col("secrets"), "secret", lambda s: F.lit("remove")).alias("secrets"), *["text"] * keep_text)
 
 
 def described(spans: Column) -> Column:
@@ -184,9 +199,9 @@ def described(spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """doc_id and text, each span replaced: entities by [KIND], terms to generalise by [TERM], terms to remove by nothing."""
+    """doc_id and text, each span replaced: entities and secrets by [KIND], terms to generalise by [TERM], terms to remove by nothing."""
     found = find(docs, keep_text=True, **how)
-    spans = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when((s["kind"] == "term") & (s["action"] == "remove"), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("by"))))
+    spans = F.array_sort(F.transform(F.concat("base", "terms", "secrets"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when((s["kind"] == "term") & (s["action"] == "remove"), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("by"))))
 
     def step(acc, s):  # a span that begins inside the one before only lengthens it
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))

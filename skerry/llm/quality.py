@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import chunks, modest_batches
+from skerry.llm.common import chunks
 
 EMBED, WIDTH, FILTERS, CHUNK = 6, 6, 16, 384
 #: Windows that are multiplied at once.
@@ -53,21 +53,27 @@ def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pooled(network: Network, texts: list[bytes], where: bool = False):
-    """Chunks x FILTERS maxima (ReLU), text of each chunk, and the places of the maxima if asked."""
+    """Chunks x FILTERS maxima (ReLU), text of each chunk, and the places of the maxima if asked.
+
+    Chunks are pooled STRETCH windows at a time, so activations of a long text are never held as a whole.
+    """
     raw, begin, text = _layout(texts)
-    act = np.empty((len(raw) - WIDTH + 1, FILTERS), np.float32)
-    for a in range(0, len(act), STRETCH):  # whole texts, a stretch of windows at a time
-        act[a : a + STRETCH] = _windows(network, raw[a : a + STRETCH + WIDTH - 1]) @ network.filters
     pads = np.append(begin[1:], len(raw))
     last = np.append(text[1:] != text[:-1], True)
     end = np.where(last, pads - WIDTH + 1, pads)
-    if not where:
-        edges = np.stack((begin, np.minimum(end, len(act))), 1).reshape(-1)
-        edges = edges[:-1] if edges[-1] >= len(act) else edges
-        top = np.maximum.reduceat(act, edges, axis=0)[::2]
-        return np.maximum(top + network.bias, 0), text, None, raw
-    best = np.array([act[a:b].argmax(0) + a for a, b in zip(begin, end)])
-    top = np.take_along_axis(act, best, 0)
+    top = np.empty((len(begin), FILTERS), np.float32)
+    best = np.empty((len(begin), FILTERS), np.int64) if where else None
+    for a in range(0, len(begin), STRETCH // CHUNK):
+        b = min(a + STRETCH // CHUNK, len(begin))
+        low = begin[a]
+        act = _windows(network, raw[low : end[b - 1] + WIDTH - 1]) @ network.filters
+        if where:
+            best[a:b] = np.array([act[x:y].argmax(0) + x for x, y in zip(begin[a:b] - low, end[a:b] - low)])
+            top[a:b] = np.take_along_axis(act, best[a:b], 0)
+            best[a:b] += low
+        else:
+            edges = np.stack((begin[a:b], end[a:b]), 1).reshape(-1) - low
+            top[a:b] = np.maximum.reduceat(act, edges[:-1], axis=0)[::2]
     return np.maximum(top + network.bias, 0), text, best, raw
 
 
@@ -131,23 +137,37 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 700, batch: int = 3
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_label: int = 800, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Fit on about ``per_label`` whole texts of each label (a documented bound), drawn by a seeded hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_label: int = 800, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_bytes: int = 64 << 20) -> Network:
+    """Fit on about ``per_label`` whole texts of each label, ``sample_bytes`` in all (documented bounds), drawn by a seeded hash of doc_id.
 
     A document labelled more than once takes the larger mean label; null labels
-    and null doc_ids are passed over. Without both labels every text scores 0.5.
+    and null doc_ids are passed over. Of the rows drawn, those come first whose
+    hash is smallest; one that would go beyond ``sample_bytes`` is passed over.
+    Without both labels every text scores 0.5.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = (known if learn is None else known.where(learn)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
-    counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
+    given = F.col(f"`{id_col}`")
+    known = labels.where(F.col(label_col).isNotNull() & given.isNotNull())
+    known = (known if learn is None else known.where(learn)).groupBy(given.alias("known")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     blank = Network(np.zeros((256, EMBED), np.float32), np.zeros((WIDTH * EMBED, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS + 1, np.float32))
     if len(counts) < 2:
         return blank
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.col("_label") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
-    sample = known.where(draw < rate).select(F.col(id_col).alias("_id"), "_label")
-    found = docs.join(F.broadcast(sample), docs[id_col] == F.col("_id")).select("_id", "_label", F.coalesce(text_col, F.lit("")).cast("binary").alias("_text")).collect()
-    found = sorted((r["_id"], bytes(r["_text"]), r["_label"]) for r in found)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("known")), F.lit(1 << 30))
+    rate = F.when(F.col("label") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
+    sample = known.withColumn("draw", draw).where(F.col("draw") < rate * float(1 << 30))
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    texts = docs.select(given.alias("known"), body.alias("body"))
+    drawn = texts.select("known", F.octet_length("body").alias("size")).join(F.broadcast(sample), "known")
+    room, chosen = sample_bytes, []
+    for r in sorted(drawn.groupBy("known", "draw").agg(F.max("size").alias("size")).collect(), key=lambda r: (r["draw"], r["known"])):  # about 2 * per_label rows
+        if r["size"] <= room:
+            room -= r["size"]
+            chosen.append((r["known"],))
+    if not chosen:
+        return blank
+    ids = docs.sparkSession.createDataFrame(chosen, f"known {dict(sample.dtypes)['known']}")
+    longest = texts.join(F.broadcast(sample.select("known", "label").join(F.broadcast(ids), "known")), "known").groupBy("known", "label").agg(F.max(F.struct(F.octet_length("body").alias("size"), "body")).alias("best"))
+    found = sorted((r["known"], bytes(r["best"]["body"]), r["label"]) for r in longest.collect())
     if len({y for _, _, y in found}) < 2:
         return blank
     return fit([x for _, x, _ in found], np.array([y for _, _, y in found], np.float32))
@@ -156,7 +176,6 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_l
 def score(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on). Whole texts are scored; null and empty texts get the score of one empty chunk."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
-    modest_batches(docs.sparkSession)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import exact_dedup, fingerprint, jaccard_join, language, mixing, packing, personal_data, quality, substring_dedup, token_counts
-from skerry.llm.common import stored, table, word_count
+from skerry.llm.common import stored, table, text_key, word_count
 
 
 def remainder(n: int) -> Column:
@@ -27,8 +27,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(F.col("text")).alias("words"))
-    mixed = mixing.mix(stored(docs, "sizes"), F.col("sources"), F.col("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(F.col("text")).alias("words"), text_key(F.col("text")).alias("sig"))
+    mixed = mixing.mix(stored(docs, "sizes"), F.col("sources"), F.col("words"), tell_apart=["sig"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -50,7 +50,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = personal_data.described(F.col("base"))
-    return found.select("doc_id", *[count(k) for k in personal_data.KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"), personal_data.described(F.concat("base", "terms")).alias("spans"))
+    every = F.concat("base", "terms", "secrets")
+    added = [F.size(c).cast("long").alias(n) for c, n in (("terms", "n_term"), ("secrets", "n_secret"))]
+    return found.select(
+        "doc_id", *[count(k) for k in personal_data.KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        personal_data.described(every).alias("spans"), *added, F.size(every).cast("long").alias("n_spans"),
+    )
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import chunks, modest_batches
+from skerry.llm.common import chunks, stored
 from skerry.llm.packing import encoder_of, tokenizer_file
 
 #: Lengths of one block of the suffix sums.
@@ -28,7 +28,6 @@ def histogram(docs: DataFrame, tokenizer: str | None = None, text_col: str = "te
     Whole texts are encoded; rows count one by one, repeated or not; an empty
     table gives an empty histogram; other columns are ignored.
     """
-    modest_batches(docs.sparkSession)
     path = tokenizer or tokenizer_file()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +46,7 @@ def sums(lengths: DataFrame) -> DataFrame:
     For a limit between two lengths take the row below it: tokens left are
     ``tokens_up_to + limit * docs_beyond``.
     """
+    lengths = stored(lengths, "histogram")  # read twice below, and counting encodes the corpus
     rows = lengths.withColumn("tokens", F.col("length") * F.col("docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each 1,024 lengths
