@@ -494,7 +494,7 @@ def test_secrets_against_plain_search(spark):
         assert got[i] == [m.span() for m in found if m[0] != often], i
     assert sum(map(len, got.values())) == 20
     clean = {r.doc_id: r.text for r in personal_data.sanitise(data).collect()}
-    assert clean[60] == "password= é \U0001f600 token = \"\""
+    assert clean[60] == 'password=[SECRET] é \U0001f600 token = "[SECRET]"'
 
 
 def test_spans_of_many_matches(spark):
