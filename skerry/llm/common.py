@@ -136,10 +136,10 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], n: str = "n",
     dropped. few must be a stored frame: it is read several times.
     """
     parts = min(MOST_HEAVY, 2 * partitions(many.sparkSession))
-    total = few.agg(F.sum(n)).first()[0] or 0
-    heavy = few.where(F.col(n) * F.lit(parts) > F.lit(total)).select(*keys, F.ceil(F.col(n) * F.lit(parts) / F.lit(max(total, 1))).cast("int").alias("_salts"))
-    if not total or heavy.isEmpty():
+    total, most = few.agg(F.sum(n), F.max(n)).first()
+    if not total or most * parts <= total:
         return many.join(few.hint("merge"), keys, how)
+    heavy = few.where(F.col(n) * F.lit(parts) > F.lit(total)).select(*keys, F.ceil(F.col(n) * F.lit(parts) / F.lit(total)).cast("int").alias("_salts"))
     deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.coalesce("_salts", F.lit(1))).cast("int")
     left = many.join(F.broadcast(heavy), keys, "left").withColumn("_salt", deal).drop("_salts")
     right = few.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")

@@ -183,7 +183,11 @@ def test_pairs_of_chunks_lose_no_link(spark, monkeypatch):
     assert got == want and sum(want.values()) > 100
 
 
-def test_components(spark):
+@pytest.mark.parametrize("gather", [0, 500_000])
+def test_components(spark, monkeypatch, gather):
+    from skerry.llm import components as module
+
+    monkeypatch.setattr(module, "GATHER", gather)
     edges = [(i, i + 1) for i in range(30)] + [(100, 105), (105, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 105: 100}
