@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.shared import shared_folder
+
 
 def _written(df: DataFrame, n: int) -> DataFrame:
     spark = df.sparkSession
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/skerry-tables"
-    path = f"{given.rstrip('/')}/skerry-step-{uuid.uuid4().hex}-{n}"
+    path = f"{shared_folder(spark)}/skerry-step-{uuid.uuid4().hex}-{n}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

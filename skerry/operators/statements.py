@@ -431,7 +431,7 @@ class _Statement:
         self.take("set")
         end = len(self.parts)
         at_from, at_where, at_ret = (find_top(self.parts, w, start=self.i) for w in ("from", "where", "returning"))
-        sets = [(unquoted(s[0].text).lower() if find_top(s, "=") == 1 else "/".join(unquoted(t.text) for t in s[: find_top(s, "=")] if t.kind == "name"), s[find_top(s, "=") + 1 :]) for s in split_top(self.parts[self.i : min(at_from, at_where, at_ret)])]
+        sets = [(unquoted(s[0].text).lower() if find_top(s, "=") == 1 else "/".join(unquoted(t.text) for t in s[: find_top(s, "=")] if t.kind == "name"), dialect.operators(s[find_top(s, "=") + 1 :])) for s in split_top(self.parts[self.i : min(at_from, at_where, at_ret)])]
         source = self.parts[at_from + 1 : min(at_where, at_ret)] if at_from < end else []
         where = self.parts[at_where + 1 : at_ret] if at_where < end else []
         self.i = at_ret

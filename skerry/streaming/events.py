@@ -48,7 +48,11 @@ def running_totals(events: DataFrame) -> DataFrame:
 
 
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table in memory."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream over all that is there, into Parquet in the shared folder: a batch replaces the one before, or adds to it."""
+    from skerry.shared import shared_folder
+
+    path = f"{shared_folder(df.sparkSession)}/skerry-stream-{name}"
+    write = "append" if mode == "append" else "overwrite"
+    query = df.writeStream.foreachBatch(lambda rows, _: rows.write.mode(write).parquet(path)).outputMode(mode).trigger(availableNow=True)
+    query.option("checkpointLocation", f"{path}-log").start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
