@@ -166,7 +166,8 @@ def find(docs: DataFrame, min_docs: int = 3, min_share: float = 0.5, min_bits: f
     most = known.agg(F.max("n_entity")).first()[0] or 0
     # Partial sums are taken before each exchange, so a frequent entity or term costs a row for each task.
     each = F.array_distinct(F.transform(F.regexp_extract_all(masked(F.col("text"), every), F.lit(TERM), F.lit(0)), F.lower))
-    of_term = stored(texts.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs), "terms")
+    listed = rows.select("row", each.alias("each")).join(lead.hint("merge"), "row", "left_semi")  # lists of terms are dealt, not texts
+    of_term = stored(listed.select(F.explode("each").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs), "terms")
     # Terms too common for min_share with any entity. They are those in more than a 64th of all texts at the most, and
     # broadcast if there are few of them; their rows would be dropped by the thresholds below in any case.
     common = of_term.where((F.col("n_term") * F.lit(min_share) > most) & (F.col("n_term") * 64 > total)).select("term")
@@ -188,9 +189,9 @@ def find(docs: DataFrame, min_docs: int = 3, min_share: float = 0.5, min_bits: f
     secrets = stored(_secrets(rows, total, min_bits), "by-row")
     forget(lead, known, of_term, beside, pairs, telling)
     joined = rows.join(by_row.hint("merge"), "row", "left").join(secrets.hint("merge"), "row", "left").withColumn("base", F.concat(*[_named(k) for k in KINDS]))
-    listed = lambda c, kind, action: F.transform(F.coalesce(c, F.array()), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action")))
-    terms = listed(F.col("terms"), "term", lambda s: s["action"])
-    return joined.select("doc_id", "base", terms.alias("terms"), listed(F.col("secrets"), "secret", lambda s: F.lit("remove")).alias("secrets"), *["text"] * keep_text)
+    marked = lambda c, kind, action: F.transform(F.coalesce(c, F.array()), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action")))
+    terms = marked(F.col("terms"), "term", lambda s: s["action"])
+    return joined.select("doc_id", "base", terms.alias("terms"), marked(F.col("secrets"), "secret", lambda s: F.lit("remove")).alias("secrets"), *["text"] * keep_text)
 
 
 def described(spans: Column) -> Column:
