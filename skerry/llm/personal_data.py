@@ -166,8 +166,9 @@ def find(docs: DataFrame, min_docs: int = 3, min_share: float = 0.5, min_bits: f
     most = known.agg(F.max("n_entity")).first()[0] or 0
     # Partial sums are taken before each exchange, so a frequent entity or term costs a row for each task.
     each = F.array_distinct(F.transform(F.regexp_extract_all(masked(F.col("text"), every), F.lit(TERM), F.lit(0)), F.lower))
-    listed = rows.select("row", each.alias("each")).join(lead.hint("merge"), "row", "left_semi")  # lists of terms are dealt, not texts
-    of_term = stored(listed.select(F.explode("each").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs), "terms")
+    # Terms have no spaces: one string of a text's terms is dealt, less than its text or an array, whose items are padded.
+    listed = rows.select("row", F.array_join(each, " ").alias("each")).where("each != ''").join(lead.hint("merge"), "row", "left_semi")
+    of_term = stored(listed.select(F.explode(F.split("each", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs), "terms")
     # Terms too common for min_share with any entity. They are those in more than a 64th of all texts at the most, and
     # broadcast if there are few of them; their rows would be dropped by the thresholds below in any case.
     common = of_term.where((F.col("n_term") * F.lit(min_share) > most) & (F.col("n_term") * 64 > total)).select("term")
