@@ -20,11 +20,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written as Parquet and read again."""
+    """All stages over documents; each result is written as Parquet and read again, the last one by its stage."""
     docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         with intermediates(spark) as keep:
             docs = keep(stored(stage(spark, docs, sf_dir), name.split()[0]))
         forget(*before)
         before = [docs]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    pieces = STAGES[-1][1](spark, docs, sf_dir)
+    forget(*before)
+    return pieces

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -40,15 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes an execution's shuffle files at its end; the session's own setting comes back."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def _settings(spark: SparkSession, given: dict[str, str]) -> Iterator[None]:
+    """Settings for the actions inside; the session's own come back."""
+    before = {key: spark.conf.get(key) for key in given}
     try:
+        for key, value in given.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -59,11 +61,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str = "part") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str = "part", batch_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Spark deletes the write's shuffle files at its end. ``batch_bytes`` bounds the
+    Arrow batches that go to Python: of each, the JVM holds copies outside its heap.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    with _shuffles_freed(spark):
+    given = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_bytes:
+        given["spark.sql.execution.arrow.maxBytesPerBatch"] = str(batch_bytes)
+    with _settings(spark, given):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skerry_path = path
@@ -146,6 +155,13 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], n: str = "n",
     return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+def release() -> None:
+    """Gives back to the system what this worker process has freed; Spark keeps idle workers for a minute, with the memory they hold."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of Arrow batches whose texts hold at most limit bytes (or one row), with the texts in UTF-8 (null: empty)."""
     for batch in batches:

@@ -14,13 +14,14 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import chunks
+from skerry.llm.common import chunks, release
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -101,6 +102,10 @@ class WordEncoder:
             known[new] = self._word(new)
         return np.frombuffer(b"".join([known[p] for p in parts]), np.uint32)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.pieces.clear()
+
 
 @functools.cache
 def encoder_of(path: str) -> WordEncoder:
@@ -108,6 +113,18 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@contextmanager
+def lent_encoder(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for one task: at its end the tokenizer stays and what was kept goes, also what earlier tasks had left free before."""
+    release()
+    encoder = encoder_of(path)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+        release()
+
+
 def cut(n: int, longest: int) -> list[int]:
     """Lengths of the pieces of n tokens: powers of two that add up to n, none above longest."""
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if (n % longest) >> b & 1]
@@ -130,20 +147,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = encoder_of(path)
         following = TaskContext.get().partitionId() << 40
         last = np.array([end_id], np.uint32)
-        for batch, texts in chunks(batches, "text"):
-            out: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                ids = np.concatenate((encoder.encode(text), last))
-                raw, n, start = memoryview(ids.tobytes()), len(ids), 0
-                for length in cut(n, longest):
-                    row = [doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, following, 0, length.bit_length() - 1]
-                    for column, value in zip(out, row + [ids[start : start + length].astype(np.int32)] * with_ids):
-                        column.append(value)
-                    start, following = start + length, following + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        with lent_encoder(path) as encoder:
+            for batch, texts in chunks(batches, "text"):
+                out: list[list] = [[] for _ in schema]
+                for doc_id, text in zip(batch.column(0).to_pylist(), texts):
+                    ids = np.concatenate((encoder.encode(text), last))
+                    raw, n, start = memoryview(ids.tobytes()), len(ids), 0
+                    for length in cut(n, longest):
+                        row = [doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, following, 0, length.bit_length() - 1]
+                        for column, value in zip(out, row + [ids[start : start + length].astype(np.int32)] * with_ids):
+                            column.append(value)
+                        start, following = start + length, following + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, SCHEMA + ", ids array<int>" * with_ids)
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from skerry.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from skerry.llm.common import packed, spread_join, stored, table, text_key, word_count
 
+#: Texts that packing hands to Python at once; by Spark's own bound a task hands over up to 64 MB, beside the executor's heap.
+BATCH_BYTES = 4 << 20
+
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of docs listed in kept (none, id, sig, n); a row that n repeats of are in docs comes once."""
@@ -64,5 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, see packing.pack: null and empty texts give one piece, repeated rows pieces of their own."""
-    return packing.pack(docs)
+    """The pieces of all documents, see packing.pack: null and empty texts give one piece, repeated rows pieces of their own.
+
+    They are stored, so that batches of texts are small whoever reads the result.
+    """
+    return stored(packing.pack(docs), "pieces", batch_bytes=BATCH_BYTES)

@@ -526,6 +526,34 @@ def test_packing(docs, rows, none):
     assert packing.cut(10_000, 4096) == [4096, 4096, 1024, 512, 256, 16] and packing.cut(5, 1) == [1] * 5
 
 
+def test_packing_bounds_memory(spark, monkeypatch):
+    """The pipeline's stage hands small batches to Python, and idle workers keep no words."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, real, key = packing.tokenizer_file(), packing.chunks, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def checked(batches, column):
+        def small():
+            for batch in batches:
+                assert batch.nbytes < 6_000_000, batch.nbytes
+                yield batch
+
+        return real(small(), column)
+
+    def kept(batches):
+        encoder = packing.encoder_of(path)
+        yield pa.RecordBatch.from_arrays([pa.array([len(encoder.known) + len(encoder.pieces)])], names=["n"])
+
+    monkeypatch.setattr(packing, "chunks", checked)
+    docs, before = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 400) AS text"), spark.conf.get(key)  # 12 MB in one task
+    tk = Tokenizer.from_file(path)
+    tokens = sum(400 * len(tk.encode(f"word{i}", add_special_tokens=False).ids) + 1 for i in range(4000))
+    assert stages.pack_sequences(spark, docs, "").agg(F.sum("length")).first()[0] == tokens
+    assert spark.conf.get(key) == before
+    assert spark.range(0, 64, 1, 32).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_buckets_hold_one_length_each(docs, tmp_path):
     packing.write_buckets(packing.pack(docs, with_ids=True), f"file://{tmp_path}/out")
     back = docs.sparkSession.read.parquet(f"file://{tmp_path}/out")
